@@ -2,5 +2,422 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as X
+from ..operators import facets as FA
+from ..operators import postings as P
+from ..operators import ranking as R
+from ..operators import search as S
+from ..operators import splits as SP
+from ..sources import corpus as C
+
+GRAM_QUERY = ["thi", "hin", "ing", "the", "her", "ere"]  # "thing there"
+FUZZY_QUERY = [*GRAM_QUERY, "zqx"]
+TERMS = ["the", "and", "with"]
+HEAD, SPLIT, DELTA = 256, 200, 800
+INCLUDE, EXCLUDE = [("lang", "en"), ("lang", "de"), ("len_band", "medium")], [("source", "src0"), ("source", "none")]
+PAIRS = [("lang", "fr"), ("lang", "xx"), ("len_band", "long"), ("source", "src1")]
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_DOCS = "docs AS (SELECT row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS doc, doc_id, text, lang, source, n_chars FROM documents)"
+_GRAMS = _DOCS + r""", w AS (SELECT doc, unnest(regexp_split_to_array(text, '\s+')) AS w FROM docs), nw AS (SELECT doc, lower(regexp_replace(w, '[^\p{L}\p{Nd}]', '', 'g')) AS w FROM w), grams AS (SELECT DISTINCT gram, doc FROM (SELECT doc, unnest(list_transform(range(1, length(w) - 1), lambda i: substring(w, i, 3))) AS gram FROM nw WHERE length(w) >= 3))"""
+_TERMS = _DOCS + r""", tok AS (SELECT doc, unnest(regexp_extract_all(lower(text), '([\p{L}\p{N}]+)', 1)) AS term FROM docs), terms AS (SELECT term, doc, count(*) AS tf FROM tok GROUP BY ALL), dict AS (SELECT term, count(*) AS df FROM terms GROUP BY term)"""
+_IMPACTS = _TERMS + """, dl AS (SELECT docs.doc, count(tok.term) AS dl FROM docs LEFT JOIN tok USING (doc) GROUP BY ALL), stats AS (SELECT count(*) AS n, sum(dl)::DOUBLE / count(*) AS avgdl FROM dl),
+impacts AS (SELECT term, terms.doc, tf, least(255, greatest(1, round(tf::DOUBLE * (1.2e0 + 1) / (tf::DOUBLE + 1.2e0 * (1 - 0.75e0 + 0.75e0 * dl / avgdl)) * 255e0 / (1.2e0 + 1))::INT)) AS impact FROM terms JOIN dl USING (doc), stats),
+weights AS (SELECT term, ln(1 + (n - df + 0.5e0) / (df + 0.5e0)) AS w FROM dict, stats)"""
+_BAND = "CASE WHEN n_chars < 1000 THEN 'short' WHEN n_chars < 5000 THEN 'medium' ELSE 'long' END"
+_FACETS = f"facets AS (SELECT 'lang' AS field, lang AS category, doc FROM docs UNION SELECT 'source', source, doc FROM docs UNION SELECT 'len_band', {_BAND}, doc FROM docs), fdict AS (SELECT field, category, count(*) AS cnt FROM facets GROUP BY ALL)"
+
+
+def _in(xs) -> str:
+    return "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+
+
+def _pairs(sel) -> str:
+    return "(" + " OR ".join(f"(field = '{f}' AND category = '{c}')" for f, c in sel) + ")"
+
+
+def _gram_hits(keys, need, name="hits") -> str:
+    return f"{name} AS (SELECT doc, count(*) AS n_match FROM grams WHERE gram IN {_in(keys)} GROUP BY doc HAVING count(*) >= {need})"
+
+
+def _term_hits(keys, need, name="hits") -> str:
+    return f"{name} AS (SELECT doc, count(*) AS n_match FROM terms WHERE term IN {_in(keys)} GROUP BY doc HAVING count(*) >= {need})"
+
+
+def register(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return C.documents(spark, d)
+
+
+def _hits(spark, d, keys=GRAM_QUERY, missing=0) -> DataFrame:
+    return S.k_of_n(P.gram_postings(_docs(spark, d), only=keys), "gram", keys, missing)
+
+
+@register("rank_assign", f"WITH {_DOCS} SELECT doc, doc_id FROM docs")
+def _(spark, d):
+    return _docs(spark, d).select("doc", "doc_id")
+
+
+@register("ngram_postings", f"WITH {_GRAMS} SELECT gram, doc FROM grams")
+def _(spark, d):
+    return P.gram_postings(_docs(spark, d))
+
+
+@register("ngram_df", f"WITH {_GRAMS} SELECT gram, count(*) AS df FROM grams GROUP BY gram")
+def _(spark, d):
+    return P.dictionary(P.gram_postings(_docs(spark, d)), "gram")
+
+
+@register("term_postings", f"WITH {_TERMS} SELECT term, doc, tf FROM terms")
+def _(spark, d):
+    return P.term_postings(_docs(spark, d))
+
+
+@register("term_df", f"WITH {_TERMS} SELECT term, df FROM dict")
+def _(spark, d):
+    return P.dictionary(P.term_postings(_docs(spark, d)), "term")
+
+
+@register("doc_lengths", f"WITH {_IMPACTS} SELECT doc, dl FROM dl")
+def _(spark, d):
+    return P.doc_lengths(_docs(spark, d))
+
+
+@register("stop_words", f"WITH {_TERMS} SELECT doc, sum(tf)::BIGINT AS n_kept FROM terms WHERE term NOT IN {_in(X.ENGLISH)} GROUP BY doc")
+def _(spark, d):
+    return P.term_postings(_docs(spark, d), stop=X.ENGLISH).groupBy("doc").agg(F.sum("tf").alias("n_kept"))
+
+
+@register("ngram_search_and", f"WITH {_GRAMS}, {_gram_hits(GRAM_QUERY, 6)} SELECT doc, doc_id, lang FROM hits JOIN docs USING (doc) ORDER BY doc LIMIT 25")
+def _(spark, d):
+    docs = _docs(spark, d)
+    hits = S.page(S.k_of_n(P.gram_postings(docs, only=GRAM_QUERY), "gram", GRAM_QUERY), 25)
+    return docs.select("doc", "doc_id", "lang").join(hits.select("doc"), "doc")
+
+
+@register("ngram_search_fuzzy", f"WITH {_GRAMS}, {_gram_hits(FUZZY_QUERY, 5)} SELECT doc, n_match FROM hits ORDER BY doc LIMIT 50")
+def _(spark, d):
+    return S.page(_hits(spark, d, FUZZY_QUERY, 2), 50)
+
+
+@register("ngram_candidates", f"WITH {_GRAMS}, gd AS (SELECT gram, count(*) AS df FROM grams WHERE gram IN {_in(GRAM_QUERY)} GROUP BY gram), rare AS (SELECT gram FROM gd ORDER BY df, gram LIMIT 2) SELECT doc FROM grams JOIN rare USING (gram) GROUP BY doc HAVING count(*) = 2")
+def _(spark, d):
+    g = P.gram_postings(_docs(spark, d), only=GRAM_QUERY)
+    keys = S.rarest(P.dictionary(g, "gram"), "gram", GRAM_QUERY, 2)
+    return S.k_of_n(g, "gram", keys).select("doc")
+
+
+@register("ngram_count_estimate", f"WITH {_GRAMS}, gd AS (SELECT gram, count(*) AS df FROM grams WHERE gram IN {_in(GRAM_QUERY)} GROUP BY gram) SELECT min(df) AS estimate, false AS exact, sum(df)::BIGINT AS cost FROM gd")
+def _(spark, d):
+    return S.estimate(P.dictionary(P.gram_postings(_docs(spark, d), only=GRAM_QUERY), "gram"), "gram", GRAM_QUERY)
+
+
+@register("ngram_absent_key", f"WITH {_DOCS} SELECT 0::BIGINT AS estimate, true AS exact, 0::BIGINT AS cost")
+def _(spark, d):
+    return S.estimate(P.dictionary(P.gram_postings(_docs(spark, d), only=FUZZY_QUERY), "gram"), "gram", FUZZY_QUERY)
+
+
+@register("posting_fetch", f"WITH {_GRAMS} SELECT doc FROM grams WHERE gram = 'ing'")
+def _(spark, d):
+    return P.gram_postings(_docs(spark, d), only=["ing"]).select("doc")
+
+
+@register("term_search_and", f"WITH {_TERMS}, {_term_hits(TERMS, 3)} SELECT doc FROM hits ORDER BY doc LIMIT 50")
+def _(spark, d):
+    return S.page(S.k_of_n(P.term_postings(_docs(spark, d), TERMS), "term", TERMS), 50).select("doc")
+
+
+@register("term_prefix_search", f"WITH {_TERMS}, t AS (SELECT term FROM dict WHERE starts_with(term, 'tha') ORDER BY term LIMIT 2048) SELECT DISTINCT doc FROM terms JOIN t USING (term) ORDER BY doc LIMIT 100")
+def _(spark, d):
+    return S.page(S.prefix_search(P.term_postings(_docs(spark, d)), "Tha"), 100)
+
+
+@register("term_complete", f"WITH {_TERMS} SELECT term, df FROM dict WHERE starts_with(term, 'er') ORDER BY term LIMIT 20")
+def _(spark, d):
+    return S.complete(P.dictionary(P.term_postings(_docs(spark, d)), "term"), "er", 20)
+
+
+@register("facet_dict", f"WITH {_DOCS}, {_FACETS} SELECT field, category, cnt FROM fdict")
+def _(spark, d):
+    return FA.dictionary(C.facet_rows(_docs(spark, d)))
+
+
+_MATCH = f"SELECT doc FROM facets WHERE {_pairs(INCLUDE)} GROUP BY doc HAVING count(DISTINCT field) = 2"
+
+
+@register("facet_filter_include", f"WITH {_DOCS}, {_FACETS} {_MATCH}")
+def _(spark, d):
+    return FA.matching(C.facet_rows(_docs(spark, d)), INCLUDE)
+
+
+@register("facet_empty_arm", f"WITH {_DOCS} SELECT doc FROM docs WHERE false")
+def _(spark, d):
+    return FA.matching(C.facet_rows(_docs(spark, d)), [*INCLUDE, ("source", "none")])
+
+
+@register("facet_filter_exclude", f"WITH {_DOCS}, {_FACETS} SELECT doc FROM docs WHERE doc NOT IN (SELECT doc FROM facets WHERE {_pairs(EXCLUDE)})")
+def _(spark, d):
+    docs = _docs(spark, d)
+    return FA.apply(docs.select("doc"), C.facet_rows(docs), exclude=EXCLUDE)
+
+
+@register("facet_filter_membership", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)} SELECT doc FROM hits WHERE doc IN ({_MATCH}) AND doc NOT IN (SELECT doc FROM facets WHERE {_pairs(EXCLUDE)})")
+def _(spark, d):
+    return FA.apply(_hits(spark, d).select("doc"), C.facet_rows(_docs(spark, d)), INCLUDE, EXCLUDE)
+
+
+_COUNTS = "SELECT field, category, (SELECT count(*) FROM facets f JOIN hits h USING (doc) WHERE f.field = fdict.field AND f.category = fdict.category{}) AS cnt FROM fdict"
+
+
+@register("facet_counts_head", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)} {_COUNTS.format(f' AND h.doc < {HEAD}')}")
+def _(spark, d):
+    return FA.counts(_hits(spark, d), C.facet_rows(_docs(spark, d)), HEAD)
+
+
+@register("facet_counts_full", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)} {_COUNTS.format('')}")
+def _(spark, d):
+    return FA.counts(_hits(spark, d), C.facet_rows(_docs(spark, d)))
+
+
+@register("facet_counts_topn", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)}, o AS (SELECT field, category, row_number() OVER (PARTITION BY field ORDER BY cnt DESC, category) <= 3 AS exact FROM fdict), c AS (SELECT field, category, count(*) AS whole, count(*) FILTER (doc < {HEAD}) AS part FROM facets JOIN hits USING (doc) GROUP BY ALL) SELECT field, category, exact, coalesce(CASE WHEN exact THEN whole ELSE part END, 0) AS cnt FROM o LEFT JOIN c USING (field, category)")
+def _(spark, d):
+    return FA.counts_top(_hits(spark, d), C.facet_rows(_docs(spark, d)), 3, HEAD)
+
+
+@register("facet_counts_for", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)}, p(pos, field, category) AS (VALUES {', '.join(f'({i}, {f!r}, {c!r})' for i, (f, c) in enumerate(PAIRS))}) SELECT pos, field, category, (SELECT count(*) FROM facets f JOIN hits USING (doc) WHERE f.field = p.field AND f.category = p.category) AS cnt FROM p")
+def _(spark, d):
+    return FA.counts_for(_hits(spark, d), C.facet_rows(_docs(spark, d)), PAIRS)
+
+
+@register("facet_count_bound", f"WITH {_DOCS}, {_FACETS} SELECT min(c)::BIGINT AS bound FROM (SELECT field, sum(cnt) AS c FROM fdict WHERE {_pairs(INCLUDE)} GROUP BY field)")
+def _(spark, d):
+    return FA.count_bound(FA.dictionary(C.facet_rows(_docs(spark, d))), INCLUDE)
+
+
+@register("record_gather", f"WITH {_DOCS} SELECT i.doc, doc_id, lang, n_chars FROM (VALUES (0), (5), (17), (10000000)) i(doc) LEFT JOIN docs USING (doc)")
+def _(spark, d):
+    ids = spark.createDataFrame([(0,), (5,), (17,), (10_000_000,)], "doc long")
+    return R.gather(ids, _docs(spark, d).select("doc", "doc_id", "lang", "n_chars"))
+
+
+@register("lookup_exact", "SELECT q.q, page_id AS doc FROM (SELECT DISTINCT url AS q FROM pages WHERE page_id % 10 = 3) q JOIN pages p ON upper(regexp_replace(p.url, '[^0-9A-Za-z]', '', 'g')) = upper(regexp_replace(q.q, '[^0-9A-Za-z]', '', 'g'))")
+def _(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    asked = pages.where("page_id % 10 = 3").select(F.col("url").alias("q")).distinct()  # the identifiers looked up
+    return asked.join(C.lookup(pages.select("url", F.col("page_id").alias("doc")), "url"), X.normalize_id(F.col("q")) == F.col("norm_id")).select("q", "doc")
+
+
+@register("sortcol_values", f"WITH {_DOCS} SELECT doc, n_chars, doc_id FROM docs WHERE doc IN (3, 1, 4, 15)")
+def _(spark, d):
+    return _docs(spark, d).where(F.col("doc").isin(3, 1, 4, 15)).select("doc", "n_chars", "doc_id")
+
+
+@register("sortcol_slice", f"WITH {_DOCS} SELECT doc, n_chars FROM docs WHERE doc BETWEEN 100 AND 149")
+def _(spark, d):
+    return _docs(spark, d).where("doc between 100 and 149").select("doc", "n_chars")
+
+
+@register("sortcol_topk", f"WITH {_GRAMS}, {_gram_hits(GRAM_QUERY, 6)} SELECT doc, doc_id FROM hits JOIN docs USING (doc) ORDER BY doc_id DESC, doc LIMIT 20")
+def _(spark, d):
+    return R.sort_topk(_hits(spark, d).select("doc"), _docs(spark, d).select("doc", "doc_id"), "doc_id", 20)
+
+
+@register("secondary_page", f"WITH {_GRAMS}, {_gram_hits(GRAM_QUERY, 6)}, perm AS (SELECT row_number() OVER (ORDER BY doc_id DESC, doc) - 1 AS sec_doc, doc FROM docs) SELECT sec_doc, doc FROM hits JOIN perm USING (doc) ORDER BY sec_doc LIMIT 10 OFFSET 10")
+def _(spark, d):
+    return R.secondary_page(_hits(spark, d), P.permutation(_docs(spark, d), "doc_id"), 10, 10)
+
+
+@register("bm25_impacts", f"WITH {_IMPACTS} SELECT term, doc, tf, impact FROM impacts")
+def _(spark, d):
+    return P.impacts(_docs(spark, d))
+
+
+def _bm25(spark, d, cand, m, k):
+    docs = _docs(spark, d)
+    imp = P.impacts(docs, TERMS)
+    return R.rerank(cand.orderBy("doc").limit(m), imp, P.dictionary(imp, "term"), P.corpus_stats(docs), k).select("doc", F.round("score", 4).alias("score"))
+
+
+_SCORE = ", part AS (SELECT doc, sum(w * impact * (1.2e0 + 1) / 255e0) AS s FROM impacts JOIN weights USING (term) WHERE term IN " + _in(TERMS) + " GROUP BY doc) SELECT doc, round(coalesce(s, 0), 4) AS score FROM cand LEFT JOIN part USING (doc) ORDER BY coalesce(s, 0) DESC, doc LIMIT {}"
+
+
+@register("bm25_search", f"WITH {_IMPACTS}, {_term_hits(TERMS, 3)}, cand AS (SELECT doc FROM hits ORDER BY doc LIMIT 200){_SCORE.format(10)}")
+def _(spark, d):
+    return _bm25(spark, d, S.k_of_n(P.term_postings(_docs(spark, d), TERMS), "term", TERMS).select("doc"), 200, 10)
+
+
+@register("bm25_min_match", f"WITH {_IMPACTS}, {_term_hits(TERMS, 2)}, cand AS (SELECT doc FROM hits ORDER BY doc LIMIT 300){_SCORE.format(20)}")
+def _(spark, d):
+    return _bm25(spark, d, S.k_of_n(P.term_postings(_docs(spark, d), TERMS), "term", TERMS, 1).select("doc"), 300, 20)
+
+
+@register("bm25_rerank_ids", f"WITH {_IMPACTS}, cand AS (SELECT doc FROM docs WHERE doc < 40){_SCORE.format(40)}")
+def _(spark, d):
+    return _bm25(spark, d, _docs(spark, d).where("doc < 40").select("doc"), 40, 40)
+
+
+_Q = "q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7)"
+_V = "(SELECT vec_id AS doc, list_inner_product(embedding::DOUBLE[], q::DOUBLE[]) AS s FROM embeddings, q)"
+
+
+def _query_vector(spark, d) -> list[float]:
+    return list(C.embeddings(spark, d).where("doc = 7").first().v)
+
+
+@register("vector_exact_topk", f"WITH {_Q} SELECT doc, round(s, 5) AS score FROM {_V} ORDER BY s DESC, doc LIMIT 10")
+def _(spark, d):
+    return R.exact_knn(C.embeddings(spark, d), _query_vector(spark, d), 10).withColumn("score", F.round("score", 5))
+
+
+@register("vector_l2_topk", f"WITH {_Q} SELECT vec_id AS doc, round(-list_sum(list_transform(range(1, len(q) + 1), lambda i: (embedding[i]::DOUBLE - q[i]::DOUBLE) * (embedding[i]::DOUBLE - q[i]::DOUBLE))), 5) AS score FROM embeddings, q ORDER BY 2 DESC, 1 LIMIT 10")
+def _(spark, d):
+    return R.exact_knn(C.embeddings(spark, d), _query_vector(spark, d), 10, "l2").withColumn("score", F.round("score", 5))
+
+
+@register("ivfpq_search")
+def _(spark, d):
+    v = C.embeddings(spark, d)
+    index = R.Ivfpq.train(v)
+    return index.search(index.encode(v), _query_vector(spark, d), 10)
+
+
+@register("ivfpq_rerank")
+def _(spark, d):
+    v = C.embeddings(spark, d)
+    index = R.Ivfpq.train(v)
+    return index.search_rerank(index.encode(v), v, _query_vector(spark, d), 10)
+
+
+_LISTS = f"t AS (SELECT doc, row_number() OVER (ORDER BY doc) AS rank FROM (SELECT doc FROM hits ORDER BY doc LIMIT 100)), v AS (SELECT doc, row_number() OVER (ORDER BY s DESC, doc) AS rank FROM (SELECT * FROM {_V} ORDER BY s DESC, doc LIMIT 100))"
+
+
+def _lists(spark, d):
+    a = R.with_rank(_hits(spark, d).select("doc").orderBy("doc").limit(100), "doc")
+    b = R.with_rank(R.exact_knn(C.embeddings(spark, d), _query_vector(spark, d), 100), F.desc("score"), "doc")
+    return a, b
+
+
+def _fused(spark, d, weights=None):
+    return R.fuse([*_lists(spark, d)], 60, weights)
+
+
+@register("rrf_fusion", f"WITH {_GRAMS}, {_gram_hits(GRAM_QUERY, 6)}, {_Q}, {_LISTS} SELECT doc, round(sum(1e0 / (60 + rank)), 9) AS score FROM (SELECT * FROM t UNION ALL SELECT * FROM v) GROUP BY doc")
+def _(spark, d):
+    return _fused(spark, d).withColumn("score", F.round("score", 9))
+
+
+@register("rrf_weighted", f"WITH {_GRAMS}, {_gram_hits(GRAM_QUERY, 6)}, {_Q}, {_LISTS} SELECT doc, round(sum(x / (60 + rank)), 9) AS score FROM (SELECT *, 2e0 AS x FROM t UNION ALL SELECT *, 0.5e0 FROM v) GROUP BY doc")
+def _(spark, d):
+    return _fused(spark, d, [2.0, 0.5]).withColumn("score", F.round("score", 9))
+
+
+@register("hybrid_search", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)}, {_Q}, {_LISTS}, f AS (SELECT doc, sum(1e0 / (60 + rank)) AS s FROM (SELECT * FROM t UNION ALL SELECT * FROM v) GROUP BY doc) SELECT doc, round(s, 9) AS score FROM f WHERE doc IN ({_MATCH}) ORDER BY s DESC, doc LIMIT 20")
+def _(spark, d):
+    out = FA.apply(_fused(spark, d), C.facet_rows(_docs(spark, d)), INCLUDE)
+    return out.orderBy(F.desc("score"), "doc").limit(20).withColumn("score", F.round("score", 9))
+
+
+_AB = f"{_gram_hits(['ing'], 1, 'a')}, {_gram_hits(['ere'], 1, 'b')}"
+
+
+def _ab(spark, d):
+    return _hits(spark, d, ["ing"]), _hits(spark, d, ["ere"])
+
+
+@register("setop_and", f"WITH {_GRAMS}, {_AB} SELECT doc FROM a INTERSECT SELECT doc FROM b")
+def _(spark, d):
+    return S.intersect(*_ab(spark, d))
+
+
+@register("setop_or", f"WITH {_GRAMS}, {_AB} SELECT doc FROM a UNION SELECT doc FROM b")
+def _(spark, d):
+    return S.union(*_ab(spark, d))
+
+
+@register("setop_andnot", f"WITH {_GRAMS}, {_AB} SELECT doc FROM a EXCEPT SELECT doc FROM b")
+def _(spark, d):
+    return S.minus(*_ab(spark, d))
+
+
+@register("bitmap_page", f"WITH {_GRAMS}, {_AB} SELECT doc FROM (SELECT doc FROM a UNION SELECT doc FROM b) ORDER BY doc LIMIT 15 OFFSET 30")
+def _(spark, d):
+    return S.page(S.union(*_ab(spark, d)), 15, 30)
+
+
+_SPLITS = f"sp AS (SELECT doc // {SPLIT} AS split, min(doc) AS doc_lo, max(doc) AS doc_hi, count(*) AS doc_count FROM docs GROUP BY 1)"
+
+
+@register("split_manifest", f"WITH {_DOCS}, {_SPLITS} SELECT * FROM sp")
+def _(spark, d):
+    return SP.manifest(SP.assign(_docs(spark, d), SPLIT))
+
+
+@register("split_locate", f"WITH {_DOCS}, {_SPLITS} SELECT doc, split, doc - doc_lo AS local FROM docs JOIN sp ON doc BETWEEN doc_lo AND doc_hi")
+def _(spark, d):
+    docs = _docs(spark, d)
+    return SP.locate(docs.select("doc"), SP.manifest(SP.assign(docs, SPLIT)))
+
+
+@register("split_search_tiered", f"WITH {_GRAMS}, {_gram_hits(GRAM_QUERY, 6)} SELECT doc FROM hits ORDER BY doc LIMIT 30")
+def _(spark, d):
+    docs = _docs(spark, d)
+    return SP.tiered(P.gram_postings(docs, only=GRAM_QUERY), SP.manifest(SP.assign(docs, SPLIT)), "gram", GRAM_QUERY, 30)
+
+
+@register("split_search_stable_key", f"WITH {_GRAMS}, {_gram_hits(GRAM_QUERY, 6)} SELECT doc, doc_id FROM hits JOIN docs USING (doc) ORDER BY doc_id DESC, doc LIMIT 30")
+def _(spark, d):
+    return SP.stable_key(_hits(spark, d).select("doc"), _docs(spark, d).select("doc", "doc_id"), "doc_id", 30)
+
+
+_DEAD = "dead AS (SELECT docs.doc FROM docs JOIN labels USING (doc_id) WHERE toxic = 1)"
+
+
+def _dead(spark, d):
+    return _docs(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").where("toxic = 1").select("doc_id"), "doc_id", "left_semi").select("doc")
+
+
+@register("split_base_delta", f"WITH {_GRAMS}, {_gram_hits(GRAM_QUERY, 6)}, {_DEAD} SELECT doc, doc >= {DELTA} AS is_delta FROM hits WHERE doc NOT IN (SELECT doc FROM dead) ORDER BY 2, 1 LIMIT 400")
+def _(spark, d):
+    hits = _hits(spark, d).select("doc")
+    return SP.base_then_delta(hits.where(F.col("doc") < DELTA), hits.where(F.col("doc") >= DELTA), _dead(spark, d), 400)
+
+
+@register("split_facet_counts", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)} SELECT field, category, count(*) AS cnt FROM facets JOIN hits USING (doc) GROUP BY ALL")
+def _(spark, d):
+    return SP.facet_counts(_hits(spark, d), C.facet_rows(_docs(spark, d)))
+
+
+@register("split_count_estimate", f"WITH {_GRAMS}, x AS (SELECT doc // {SPLIT} AS split, gram, count(*) AS df FROM grams WHERE gram IN {_in(GRAM_QUERY)} GROUP BY ALL), y AS (SELECT split, min(df) AS low FROM x GROUP BY split HAVING count(*) = 6) SELECT coalesce(sum(low), 0)::BIGINT AS estimate FROM y")
+def _(spark, d):
+    return SP.count_estimate(SP.assign(P.gram_postings(_docs(spark, d), only=GRAM_QUERY), SPLIT), "gram", GRAM_QUERY)
+
+
+@register("split_count_exact", f"WITH {_GRAMS}, {_gram_hits(GRAM_QUERY, 6)}, {_DEAD} SELECT count(*) AS n FROM hits WHERE doc NOT IN (SELECT doc FROM dead)")
+def _(spark, d):
+    return SP.alive(_hits(spark, d).select("doc"), _dead(spark, d)).agg(F.count("*").alias("n"))
+
+
+@register("split_compact", f"WITH {_DOCS}, {_DEAD} SELECT doc, n_chars FROM docs WHERE doc >= {DELTA} AND doc NOT IN (SELECT doc FROM dead)")
+def _(spark, d):
+    return SP.alive(_docs(spark, d).where(F.col("doc") >= DELTA).select("doc", "n_chars"), _dead(spark, d))
+
+
+@register("catalog_search", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)} SELECT doc, doc_id, lang, source, n_chars FROM hits JOIN docs USING (doc) WHERE doc IN ({_MATCH}) ORDER BY doc LIMIT 25")
+def _(spark, d):
+    docs = _docs(spark, d)
+    page = S.page(FA.apply(_hits(spark, d).select("doc"), C.facet_rows(docs), INCLUDE), 25)
+    return page.join(docs.select("doc", "doc_id", "lang", "source", "n_chars"), "doc")
