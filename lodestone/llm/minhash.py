@@ -8,7 +8,8 @@ Documents with equal sets are one from the start. Inside a band's bucket each do
 bucket's first document and with the one before it (linear in the bucket, whatever its size); pairs are
 verified on the whole texts, verified pairs give connected components, and buckets that still hold several
 components are then paired fully across components, so every candidate pair ends in one component or has been
-verified itself. A group is a component of verified pairs (Jaccard >= ``THRESHOLD``).
+examined itself. Pairs whose signatures (one byte of each coordinate) agree in a share that is ``SLACK`` below the threshold - more than
+four standard deviations - need no texts. Only the texts that pairs name are moved. A group is a component of verified pairs (Jaccard >= ``THRESHOLD``).
 
 Defined results: null and empty texts and texts without words aren't compared and form groups of their own;
 texts of fewer than three words compare as a whole; the smallest ``doc_id`` of a group represents it; rows
@@ -23,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, sized
 from ._text import PIECE, Tokens, mix, pieces, strings
 
 SHINGLE = 3
 BANDS, ROWS = 32, 4
 THRESHOLD = 0.5
+SLACK = 0.2
+BROADCAST_BYTES = 32 << 20
 
 
 def sigma(x: np.ndarray) -> np.ndarray:
@@ -81,7 +84,7 @@ def signatures(shingle: np.ndarray, starts: np.ndarray, n: int = BANDS * ROWS) -
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, set1, set2, n, bands): two sums over the set as its name, and a hash for each band."""
+    """(doc_id, set1, set2, n, bands, sig): two sums over the set as its name, a hash for each band, a byte of each coordinate."""
 
     def find(batches):
         for b in batches:
@@ -91,7 +94,9 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 if not len(row):
                     continue
                 starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                sig = signatures(s, starts, bands * rows).astype(np.uint64)
+                sig = signatures(s, starts, bands * rows)
+                low = np.ascontiguousarray((sig & np.uint32(255)).astype(np.uint8).T)
+                sig = sig.astype(np.uint64)
                 wide = s.astype(np.uint64)
                 one, two = (np.add.reduceat(mix(wide + np.uint64(c)), starts).view(np.int64) for c in (0x1234567, 0x7654321 << 20))
                 with np.errstate(over="ignore"):
@@ -104,16 +109,31 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 n = np.diff(np.append(starts, len(s)))
                 flat = pa.array(np.ascontiguousarray(np.stack(keys, axis=1)).ravel())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(starts) + 1, bands), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + row[starts])), pa.array(one), pa.array(two), pa.array(n), lists], ["doc_id", "set1", "set2", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + row[starts])), pa.array(one), pa.array(two), pa.array(n), lists, pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "set1", "set2", "n", "bands", "sig"])
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(find, "doc_id long, set1 long, set2 long, n long, bands array<long>")
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(find, "doc_id long, set1 long, set2 long, n long, bands array<long>, sig binary")
+
+
+def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose signatures don't rule the threshold out."""
+    sig = sketches.select(F.col("first").alias("id"), "sig")
+    both = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
+
+    def compare(batches):
+        for batch in batches:
+            sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) if batch.num_rows else np.zeros((0, 1), np.uint8) for i in (2, 3))
+            use = pa.array((sa == sb).mean(axis=1) >= threshold - SLACK)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(use), batch.column(1).filter(use)], ["a", "b"])
+
+    return both.mapInArrow(compare, "a long, b long").distinct()
 
 
 def jaccard(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The (a, b) of ``pairs`` (distinct) whose exact similarity reaches ``threshold``."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = texts.join(involved, "id", "left_semi")
+    # Before the texts move: by a broadcast while the ids are few enough for one, by a shuffled join beyond that.
+    texts = texts.join(sized(involved, 16, BROADCAST_BYTES), "id", "left_semi")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def verify(batches):
@@ -159,14 +179,15 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     """(id, root) of every document that has a near duplicate with a smaller ``doc_id``."""
     found = cut(sketch(docs, bands, rows))
     sets = Window.partitionBy("set1", "set2", "n").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    named = found.withColumn("first", F.first("doc_id").over(sets))
-    equal = named.where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b")).distinct()
-    keys = named.where("doc_id = first").select(F.col("first").alias("id"), F.explode("bands").alias("h"))
+    named = cut(found.select("doc_id", "set1", "set2", "n").withColumn("first", F.first("doc_id").over(sets)).where("doc_id <> first").select("doc_id", "first", "set1", "set2", "n").distinct())
+    equal = named.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    single = found.join(sized(named.select("doc_id", "set1", "set2", "n"), 40, BROADCAST_BYTES), ["doc_id", "set1", "set2", "n"], "left_anti").withColumnRenamed("doc_id", "first")
+    keys = single.select(F.col("first").alias("id"), F.explode("bands").alias("h"))
     order = Window.partitionBy("h").orderBy("id")
     near = keys.withColumns({"head": F.first("id").over(order.rowsBetween(Window.unboundedPreceding, 0)), "prev": F.lag("id").over(order)})
     buckets = cut(near.where("id <> head").select("h", "id", "head", "prev"))
     pairs = cut(buckets.select(F.explode(F.array_distinct(F.array("head", "prev"))).alias("a"), F.col("id").alias("b")).where("a <> b").distinct())
-    good = cut(jaccard(pairs, docs, threshold).union(equal))
+    good = cut(jaccard(cut(likely(pairs, single, threshold)), docs, threshold).union(equal))
     linked = components(good)
     # Buckets that still hold several components: all pairs across them that haven't been verified.
     members = buckets.select("h", "id").union(buckets.select("h", F.col("head").alias("id"))).distinct()
@@ -174,7 +195,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, ro
     mixed = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("h")
     rest = labelled.join(mixed, "h", "left_semi")
     cross = rest.select("h", F.col("id").alias("a"), F.col("root").alias("ra")).join(rest.select("h", F.col("id").alias("b"), F.col("root").alias("rb")), "h").where("a < b and ra <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(jaccard(cut(cross), docs, threshold))
+    more = cut(jaccard(cut(likely(cross, single, threshold)), docs, threshold))
     return components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)) if not more.isEmpty() else linked
 
 
@@ -188,7 +209,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, without those that have a near duplicate with a smaller ``doc_id``."""
-    gone = groups(docs, threshold).select("id")
+    gone = sized(cut(groups(docs, threshold).select("id")), 16, BROADCAST_BYTES)
     return docs.join(gone, docs["doc_id"].cast("long") == gone["id"], "left_anti")
 
 
