@@ -5,8 +5,8 @@ content gives a passage the same lines wherever it is pasted. The minimum of eve
 hashes is a fingerprint, so any two texts that share ``WINDOW`` successive lines share one. Fingerprints are
 joined with the first and the preceding occurrence of the same hash (in order of ``doc_id`` and position), and each match is
 extended both ways: a fingerprint carries the hashes of the ``WINDOW - 1`` lines on either side, which reaches
-the next fingerprint of the run or its end. Matched lines form runs; a later run of at least ``MIN_WORDS``
-words is deleted from its text.
+the next fingerprint of the run or its end. A match counts if it has ``WINDOW`` lines or ``MIN_WORDS`` words.
+Matched lines form runs; a later run of at least ``MIN_WORDS`` words is deleted from its text.
 
 One shuffle of fingerprints (a row each, streamed in order inside a hash, so frequent lines need no memory) and
 one that brings the runs to their documents.
@@ -175,9 +175,11 @@ def clean(texts: pa.Array, spans: pa.Array, min_words: int) -> tuple[list, np.nd
     for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():
         lines = Lines(pa.array([out[i]], pa.large_string()))
         mark = np.zeros(len(lines.hash) + 1, np.int64)
-        flat = spans[i].values
-        np.add.at(mark, flat.field("lo").to_numpy(), 1)
-        np.add.at(mark, flat.field("hi").to_numpy() + 1, -1)
+        lo, hi = (spans[i].values.field(c).to_numpy() for c in ("lo", "hi"))
+        so_far = np.concatenate([[0], np.cumsum(lines.words)])
+        counts = (hi - lo + 1 >= WINDOW) | (so_far[hi + 1] - so_far[lo] >= min_words)
+        np.add.at(mark, lo[counts], 1)
+        np.add.at(mark, hi[counts] + 1, -1)
         left, words[i], runs[i] = cut_runs(out[i].encode(), lines, np.cumsum(mark[:-1]) > 0, min_words)
         out[i] = left.decode()
     valid = texts.is_valid().to_numpy(zero_copy_only=False)
