@@ -6,7 +6,7 @@ Levenshtein automaton of one edit (terms of at least ``FUZZY_CHARS`` characters;
 exactly), determinised once, and run over all words of a batch at a time. A misspelling that is a word of
 non-toxic labelled documents isn't one.
 
-A hit scores 1 (a misspelling ``FUZZY_SCORE``); inside quotation marks or after a reporting word within
+A hit scores 1 (a misspelling ``FUZZY_SCORE``, each form once in a document: natural words one edit away recur); inside quotation marks or after a reporting word within
 ``CONTEXT`` words it is taken as quotation and scores ``QUOTED`` of that; with a second person within them,
 ``DIRECT`` of it. A document is toxic if its scores sum to ``THRESHOLD``.
 
@@ -201,7 +201,7 @@ def quoted(text: str, s: int, e: int) -> bool:
 
 
 def hits(texts: list[str], automaton: Automaton, safe: frozenset[str]):
-    """(row, start, end, term, score) of each hit in lower-cased texts."""
+    """(row, misspelled form or None, term, score) of each hit in lower-cased texts."""
     code, start, end, row, local = words_of(texts)
     word, value = automaton.match(code, start, end)
     for w, v in zip(word.tolist(), value.tolist()):
@@ -221,7 +221,7 @@ def hits(texts: list[str], automaton: Automaton, safe: frozenset[str]):
             score *= QUOTED
         elif any(x in SECOND for x in _WORD.findall(text[max(0, s - 60) : s])[-CONTEXT:] + _WORD.findall(text[e : e + 60])[:CONTEXT]):
             score *= DIRECT
-        yield int(row[w]), s, e, term, score
+        yield int(row[w]), mine if v % 2 else None, term, score
 
 
 def learn(docs: DataFrame, labels: DataFrame, known: tuple[str, ...] = TERMS, bound: int = LEARN_BOUND, sure: float = SURE) -> list[tuple[str, bool]]:
@@ -326,17 +326,18 @@ def toxic_documents(docs: DataFrame, labels: DataFrame | None = None, terms: tup
         for b in batches:
             per: dict[int, list] = {}
             for at, piece in pieces(strings(b.column(1)), 1 << 19):
-                for row, _, _, term, score in hits([t.lower() for t in piece.to_pylist()], automaton, safe):
-                    per.setdefault(at + row, []).append((term, score))
-            per = {r: h for r, h in per.items() if round(sum(s for _, s in h), 6) >= threshold}
+                for row, form, term, score in hits([t.lower() for t in piece.to_pylist()], automaton, safe):
+                    if form is None or not any(f == form for _, _, f in per.get(at + row, ())):
+                        per.setdefault(at + row, []).append((term, score, form))
+            per = {r: h for r, h in per.items() if round(sum(s for _, s, _ in h), 6) >= threshold}
             quotes = {round(x * QUOTED, 9) for x in (1.0, FUZZY_SCORE)}
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).take(pa.array(list(per), pa.int64())),
-                    pa.array([round(sum(s for _, s in h), 6) for h in per.values()], pa.float64()),
+                    pa.array([round(sum(s for _, s, _ in h), 6) for h in per.values()], pa.float64()),
                     pa.array([len(h) for h in per.values()], pa.int64()),
-                    pa.array([sum(round(s, 9) in quotes for _, s in h) for h in per.values()], pa.int64()),
-                    pa.array([sorted({t for t, _ in h}) for h in per.values()], pa.list_(pa.string())),
+                    pa.array([sum(round(s, 9) in quotes for _, s, _ in h) for h in per.values()], pa.int64()),
+                    pa.array([sorted({t for t, _, _ in h}) for h in per.values()], pa.list_(pa.string())),
                 ],
                 ["doc_id", "score", "n_hits", "n_quoted", "terms"],
             )
