@@ -2,14 +2,14 @@
 
 Words and runs of marks are the tokens; lower-cased unigrams and bigrams are hashed into ``BUCKETS`` cells
 (a token that repeats its predecessor has one cell for all words, so stuttering text is visible whatever the
-word is). Cell counts of all trusted documents (``labels.quality = 1``) and of all documents give two
-add-one-smoothed multinomials; a document's score is the mean of ``log p_target - log p_raw`` over its n-grams
+word is). Cell counts of all documents give the raw multinomial, those of all trusted documents
+(``labels.quality = 1``) the target one, smoothed by ``BUCKETS`` draws from the raw one; a document's score is the mean of ``log p_target - log p_raw`` over its n-grams
 and it is kept when that is at least ``threshold``.
 
 Defined results: a null or empty text (or one without any token) has score null and is not kept; a null
 ``doc_id`` is scored like any other row and never counts as trusted; repeated rows are scored, and counted,
-each by itself; other columns of the input are ignored. With no trusted documents both multinomials are the
-uniform one over nothing known: every score is 0 and every document with a token is kept.
+each by itself; other columns of the input are ignored. With no trusted documents the target is the raw
+multinomial: every score is 0 and every document with a token is kept.
 """
 
 from __future__ import annotations
@@ -67,9 +67,11 @@ def ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in counts.collect():
         raw[r.cell], target[r.cell] = r.raw, r.target
-    if not target.sum():
-        return np.zeros(buckets)
-    return np.log((target + 1) / (target.sum() + buckets)) - np.log((raw + 1) / (raw.sum() + buckets))
+    share = raw / max(1.0, raw.sum())
+    seen = raw > 0
+    out = np.zeros(buckets)
+    out[seen] = np.log((target[seen] / share[seen] + buckets) / (target.sum() + buckets))
+    return out
 
 
 def score_texts(col, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
