@@ -2,9 +2,8 @@
 
 A key descends region, rack and shard levels. At each node every child draws ``-ln(u) / weight`` with ``u``
 hashed from the key and the child's path, and the smallest draw wins, so children get keys in proportion to
-their weights. A node's weight is the sum of the weights below it. Where a shard's weight changes, draws change
-only for it and the nodes above it; the draws inside all other subtrees stay, and no key moves between two
-nodes whose weights are unchanged.
+their weights. A node's weight is the sum of the weights below it. Where a shard's weight changes,
+keys move, at each level, only to or from the one child above it: placement inside all other subtrees stays.
 
 Defined results: the key is ``doc_id`` alone, so repeated rows get the same shard; a null ``doc_id`` is placed
 as the key ``null``; the text and other columns don't matter; a child of weight 0 gets nothing. A negative
