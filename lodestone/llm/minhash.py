@@ -28,7 +28,7 @@ from ._spark import cut, sized
 from ._text import PIECE, Tokens, mix, pieces, strings
 
 SHINGLE = 3
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 48, 4
 THRESHOLD = 0.5
 SLACK = 0.2
 BROADCAST_BYTES = 32 << 20
