@@ -35,7 +35,7 @@ def seal(doc_keys: DataFrame, cap: int, cap_max: int, stride: int = 64) -> DataF
             out.append((doc, split, split))
         return pd.DataFrame(out, columns=["doc", "split", "tier"])
 
-    return doc_keys.groupBy(F.lit(0)).applyInPandas(run, "doc long, split long, tier long")
+    return doc_keys.withColumn("__one", F.lit(0)).groupBy("__one").applyInPandas(run, "doc long, split long, tier long")
 
 
 def manifest(docs: DataFrame) -> DataFrame:
