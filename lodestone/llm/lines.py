@@ -2,13 +2,14 @@
 
 A text's lines end at a newline or, inside long lines, after a word whose hash is 0 modulo ``WRAP``: wrapping by
 content gives a passage the same lines wherever it is pasted. The minimum of every window of ``WINDOW`` line
-hashes is a fingerprint, so any two texts that share ``WINDOW`` successive lines share one. Fingerprints are
-joined with the first and the preceding occurrence of the same hash (in order of ``doc_id`` and position), and each match is
+hashes is a fingerprint, so any two texts that share ``WINDOW`` successive lines share one. A fingerprint is
+matched with all earlier occurrences of its hash (in order of ``doc_id`` and position), and each match is
 extended both ways: a fingerprint carries the hashes of the ``WINDOW - 1`` lines on either side, which reaches
-the next fingerprint of the run or its end. A match counts if it has ``WINDOW`` lines or ``MIN_WORDS`` words.
+the next fingerprint of the run or its end. What any earlier occurrence shares is read off the first one with the
+same hash and the same lines before, after or on both sides. A match counts if it has ``WINDOW`` lines or ``MIN_WORDS`` words.
 Matched lines form runs; a later run of at least ``MIN_WORDS`` words is deleted from its text.
 
-One shuffle of fingerprints (a row each, streamed in order inside a hash, so frequent lines need no memory) and
+One shuffle of fingerprints (a row each, sorted inside a hash by the lines around; frequent lines spill to disk) and
 one that brings the runs to their documents.
 
 Defined results: null and empty texts come back as they are; a row with a null ``doc_id`` is neither searched
@@ -31,6 +32,8 @@ from ._text import _power_tables, buffers, mix, pieces, strings
 WRAP = 6
 WINDOW = 3
 MIN_WORDS = 25
+#: Lines before and after a fingerprint that one earlier occurrence may share. Longer matches (2 and 1, 2 and 2) are unions of these.
+KINDS = ((0, 0), (1, 0), (2, 0), (0, 1), (0, 2), (1, 1))
 
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
@@ -119,26 +122,26 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(find, "h long, doc_id long, at long, before long, after long")
 
 
-def reach(mine: str, other: str):
-    """Lines (0, 1 or 2) to which a match extends on one side."""
-    a, b = F.col(mine), F.col(other)
-    low = F.lit(0xFFFFFFFF)
-    one = a.bitwiseAND(low) == b.bitwiseAND(low)
-    return F.when((a.bitwiseAND(low) != 0) & one, F.when((F.shiftrightunsigned(a, 32) != 0) & (a == b), 2).otherwise(1)).otherwise(0)
-
-
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, spans) of documents with matched lines; spans are (from, to) line numbers, both inside."""
+    """(doc_id, tag, spans) of documents with matched lines; spans are (line, kinds): a bit for each of ``KINDS`` that an earlier occurrence shares."""
     key = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), tag_of("text").alias("tag"))
-    order = Window.partitionBy("h").orderBy("doc_id", "at")
-    seen = fingerprints(key)
-    sides = {f"{w}_{c}": f(c) for w, f in (("f", lambda c: F.first(c).over(order.rowsBetween(Window.unboundedPreceding, 0))), ("p", lambda c: F.lag(c).over(order))) for c in ("doc_id", "at", "before", "after")}
-    later = seen.withColumns(sides).where((F.col("doc_id") != F.col("f_doc_id")) | (F.col("at") != F.col("f_at")))
-    same = (F.col("doc_id") == F.col("p_doc_id")) & (F.col("at") == F.col("p_at"))  # the same row again
-    line = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF))
-    lo = line - F.greatest(reach("before", "f_before"), F.when(same, 0).otherwise(reach("before", "p_before")))
-    hi = line + F.greatest(reach("after", "f_after"), F.when(same, 0).otherwise(reach("after", "p_after")))
-    spans = later.select("doc_id", F.shiftright("at", 32).alias("tag"), F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi")).alias("span"))
+    low = F.lit(0xFFFFFFFF)
+    # One exchange by hash.
+    seen = fingerprints(key).repartition("h").select("h", F.struct("doc_id", "at").alias("own"), "before", "after", F.col("before").bitwiseAND(low).alias("b"), F.col("after").bitwiseAND(low).alias("a"))
+
+    def shared(*context):
+        """Whether an earlier document or line has the same hash and the same lines around; repeated rows are one."""
+        return F.min("own").over(Window.partitionBy("h", *context)) < F.col("own")
+
+    two = {c: F.shiftrightunsigned(c, 32) != 0 for c in ("before", "after")}
+    one = {c: F.col(c) != 0 for c in ("b", "a")}
+    # Hashes of one occurrence go before the sorts for the lines after and on both sides.
+    seen = seen.sortWithinPartitions("h", "b", "before")
+    seen = seen.withColumns({"last": F.max("own").over(Window.partitionBy("h")), "k0": shared(), "k1": one["b"] & shared("b"), "k2": two["before"] & shared("b", "before")}).where(F.col("k0") | (F.col("last") != F.col("own"))).drop("last")
+    seen = seen.sortWithinPartitions("h", "a", "after").withColumns({"k3": one["a"] & shared("a"), "k4": two["after"] & shared("a", "after")})
+    seen = seen.withColumn("k5", one["b"] & one["a"] & shared("b", "a")).where("k0")
+    kinds = sum((F.when(F.col(f"k{i}"), 1 << i).otherwise(0) for i in range(len(KINDS))), F.lit(0))
+    spans = seen.select("own.doc_id", F.shiftright("own.at", 32).alias("tag"), F.struct(F.col("own.at").bitwiseAND(low).cast("int").alias("line"), kinds.cast("byte").alias("kinds")).alias("span"))
     return spans.groupBy("doc_id", "tag").agg(F.collect_list("span").alias("spans"))
 
 
@@ -175,7 +178,8 @@ def clean(texts: pa.Array, spans: pa.Array, min_words: int) -> tuple[list, np.nd
     for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():
         lines = Lines(pa.array([out[i]], pa.large_string()))
         mark = np.zeros(len(lines.hash) + 1, np.int64)
-        lo, hi = (spans[i].values.field(c).to_numpy() for c in ("lo", "hi"))
+        line, kinds = (spans[i].values.field(c).to_numpy() for c in ("line", "kinds"))
+        lo, hi = (np.concatenate([line[kinds >> n & 1 == 1] + side * k[j] for n, k in enumerate(KINDS)]) for j, side in ((0, -1), (1, 1)))
         so_far = np.concatenate([[0], np.cumsum(lines.words)])
         counts = (hi - lo + 1 >= WINDOW) | (so_far[hi + 1] - so_far[lo] >= min_words)
         np.add.at(mark, lo[counts], 1)
