@@ -2,8 +2,8 @@
 
 The lexicon is a given list plus terms (words, or stems with any ending) learned from labelled documents: those
 whose documents are labelled toxic far more often than chance allows (see ``learn``). Its trie is intersected with the
-Levenshtein automaton of one edit (terms of at least ``FUZZY_CHARS`` characters; shorter terms and stems match
-exactly), determinised once, and run over all words of a batch at a time. A misspelling that is a word of
+Levenshtein automaton of one edit (terms and stems of at least ``FUZZY_CHARS`` characters; shorter ones match
+exactly, and so do a stem's first and last letters), determinised once, and run over all words of a batch at a time. A misspelling that is a word of
 non-toxic labelled documents isn't one.
 
 A hit scores 1 (a misspelling ``FUZZY_SCORE``, each form once in a document: natural words one edit away recur); inside quotation marks or after a reporting word within
@@ -57,7 +57,7 @@ class Automaton:
         ends: list[list[int]] = [[]]
         room = [-1]  # edits that some term below allows
         for n, (term, stem) in enumerate(self.terms):
-            node, k = 0, int(not stem and len(term) >= fuzzy_chars)
+            node, k = 0, int(len(term) >= fuzzy_chars)
             room[0] = max(room[0], k)
             for c in codes([term])[0].tolist():
                 if c not in kids[node]:
@@ -78,31 +78,28 @@ class Automaton:
                 if e == 0 and node >= 0:
                     for kid in kids[node].values():
                         if room[kid] >= 1:
-                            state[kid] = min(1, state.get(kid, 9))
+                            state[kid] = min(1 if node else 2, state.get(kid, 9))
             return state
 
         def step(state: dict[int, int], c: int) -> dict[int, int]:
             out: dict[int, int] = {}
 
             def add(node, e):
-                if node < 0 or room[node] >= e:
+                if node < 0 or room[node] >= min(e, 1):
                     out[node] = min(e, out.get(node, 9))
 
             for node, e in state.items():
                 if node < 0:  # inside a word whose stem has been read
-                    add(node, 0)
+                    add(node, e)
                     continue
                 if c in kids[node]:
                     add(kids[node][c], e)
-                if e == 0:
-                    add(node, 1)
-                    for kid in kids[node].values():
-                        add(kid, 1)
-            for node, e in list(out.items()):
-                if e == 0 and node >= 0:
-                    for n in ends[node]:
-                        if self.terms[n][1]:
-                            out[-1 - n] = 0
+                    for n in ends[kids[node][c]]:  # a stem ends with its own last letter
+                        if self.terms[n][1] and (e == 0 or e == 1 and len(self.terms[n][0]) >= fuzzy_chars):
+                            add(-1 - n, e)
+                if e == 0:  # an edit at the first letter is 2: none for stems
+                    for to in (node, *kids[node].values()):
+                        add(to, 1 if node else 2)
             return closed(out)
 
         start = closed({0: 0})
@@ -126,9 +123,9 @@ class Automaton:
             found = []
             for node, e in state.items():
                 if node < 0:
-                    found.append((0, -1 - node))
+                    found.append((e, -1 - node))
                 else:
-                    found += [(e, n) for n in ends[node] if e <= int(not self.terms[n][1] and len(self.terms[n][0]) >= fuzzy_chars) and (e == 0 or not self.terms[n][1])]
+                    found += [(min(e, 1), n) for n in ends[node] if not self.terms[n][1] and min(e, 1) <= int(len(self.terms[n][0]) >= fuzzy_chars)]
             if found:
                 e, n = min(found)
                 self.accept[i] = n * 2 + e
@@ -182,6 +179,18 @@ def edits_within_one(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
 
 
+def form_of(word: str, term: str, stem: bool) -> str:
+    """What of a misspelled word the safe list holds: endings of stems vary."""
+    return word[: len(term) + 1] if stem else word
+
+
+def misspells(word: str, term: str, stem: bool) -> bool:
+    """Whether one edit makes ``word`` the term, or a beginning of it the stem, whose first and last letters stand."""
+    if not stem:
+        return edits_within_one(word, term)
+    return word[0] == term[0] and any(w[-1:] == term[-1] and edits_within_one(w, term) for w in (word[: len(term) + d] for d in (-1, 0, 1)))
+
+
 def quoted(text: str, s: int, e: int) -> bool:
     """Whether quotation marks enclose ``text[s:e]`` in its line, or a reporting word stands shortly before."""
     lo = text.rfind("\n", 0, s) + 1
@@ -210,7 +219,7 @@ def hits(texts: list[str], automaton: Automaton, safe: frozenset[str]):
         term, stem = automaton.terms[v // 2]
         mine = text[s:e]
         if v % 2:
-            if mine in safe or not edits_within_one(mine, term):
+            if form_of(mine, term, stem) in safe or not misspells(mine, term, stem):
                 continue
             score = FUZZY_SCORE
         else:
@@ -304,9 +313,10 @@ def natural(docs: DataFrame, labels: DataFrame, automaton: Automaton, bound: int
                 texts = [t.lower() for t in piece.to_pylist()]
                 code, start, end, row, local = words_of(texts)
                 word, value = automaton.match(code, start, end)
-                for w in word[value % 2 == 1].tolist():
-                    s = int(local[w])
-                    out.add(texts[row[w]][s : s + int(end[w] - start[w])])
+                for w, v in zip(word.tolist(), value.tolist()):
+                    if v % 2:
+                        s = int(local[w])
+                        out.add(form_of(texts[row[w]][s : s + int(end[w] - start[w])], *automaton.terms[v // 2]))
         yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.string())], ["word"])
 
     return frozenset(r.word for r in sample.mapInArrow(find, "word string").distinct().collect())

@@ -164,6 +164,17 @@ def test_toxicity_learns_stems_and_spares_natural_words(spark):
     assert {r.doc_id for r in toxicity.toxic_documents(docs(spark, texts), l).collect()} == set(range(60))
 
 
+def test_toxicity_misspelled_stems():
+    a = toxicity.Automaton([("réeux", True), ("bomente", True)])
+
+    def found(word, safe=frozenset()):
+        return [(term, form) for _, form, term, _ in toxicity.hits([word], a, safe)]
+
+    assert all(found(w) for w in ("bomentes", "bomxentes", "bomntes", "bxmentes", "réxuxen"))
+    assert not any(found(w) for w in ("bxmxntes", "xbomentes", "boment", "réeu", "moment"))
+    assert not found("bomxentes", frozenset({"bomxente"})) and not found("bomxenterie", frozenset({"bomxente"}))
+
+
 def test_toxicity_messy(spark):
     assert rows(toxicity.toxic_documents(messy(spark), labels(spark))) == [] and rows(toxicity.toxic_documents(docs(spark, []), labels(spark))) == []
     assert toxicity.toxic_documents(docs(spark, [(None, "scum"), (3, "scum"), (3, "scum")])).count() == 3
