@@ -6,7 +6,8 @@ Levenshtein automaton of one edit (terms and stems of at least ``FUZZY_CHARS`` c
 exactly, and so do a stem's first and last letters), determinised once, and run over all words of a batch at a time. A misspelling that is a word of
 non-toxic labelled documents isn't one.
 
-A hit scores 1 (a misspelling ``FUZZY_SCORE``, each form once in a document: natural words one edit away recur); inside quotation marks or after a reporting word within
+A hit scores 1, each misspelled form once in a document, by its best occurrence. Without ``SAFE_DOCS`` non-toxic labelled
+documents nothing tells natural words one edit away from misspellings, which then score ``FUZZY_SCORE``. A hit inside quotation marks or after a reporting word within
 ``CONTEXT`` words it is taken as quotation and scores ``QUOTED`` of that; with a second person within them,
 ``DIRECT`` of it. A document is toxic if its scores sum to ``THRESHOLD``.
 
@@ -37,6 +38,8 @@ CONTEXT = 5
 LEARN_BOUND = 12_000
 SURE = 1e-4
 STEMS = (4, 5, 6, 7)
+#: So many non-toxic labelled documents make a safe list on which a misspelling counts as much as its term.
+SAFE_DOCS = 100
 
 REPORTING = frozenset("said says say called calls quoted quote quotes wrote writes word words term terms phrase insult insults slur slurs zitat zitierte sagte nannte wort dit appelle citation mot dijo llama palabra cita".split())
 SECOND = frozenset("you your youre yours u ur du dich dir dein deine ihr euch tu toi te ton ta vous votre ti usted ustedes vosotros".split())
@@ -209,7 +212,7 @@ def quoted(text: str, s: int, e: int) -> bool:
     return any(w in REPORTING for w in _WORD.findall(left)[-CONTEXT:])
 
 
-def hits(texts: list[str], automaton: Automaton, safe: frozenset[str]):
+def hits(texts: list[str], automaton: Automaton, safe: frozenset[str], fuzzy: float):
     """(row, misspelled form or None, term, score) of each hit in lower-cased texts."""
     code, start, end, row, local = words_of(texts)
     word, value = automaton.match(code, start, end)
@@ -221,7 +224,7 @@ def hits(texts: list[str], automaton: Automaton, safe: frozenset[str]):
         if v % 2:
             if form_of(mine, term, stem) in safe or not misspells(mine, term, stem):
                 continue
-            score = FUZZY_SCORE
+            score = fuzzy
         else:
             if not (mine.startswith(term) if stem else mine == term):
                 continue
@@ -301,14 +304,16 @@ def learn(docs: DataFrame, labels: DataFrame, known: tuple[str, ...] = TERMS, bo
     return sorted(taken)
 
 
-def natural(docs: DataFrame, labels: DataFrame, automaton: Automaton, bound: int = LEARN_BOUND) -> frozenset[str]:
-    """Words one edit from the lexicon that non-toxic labelled documents use."""
+def natural(docs: DataFrame, labels: DataFrame, automaton: Automaton, bound: int = LEARN_BOUND) -> tuple[frozenset[str], int]:
+    """Words one edit from the lexicon that non-toxic labelled documents use, and how many documents those are."""
     rows = bound_sample(labels.where("doc_id is not null and toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", bound)
     sample = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id", "left_semi").select("text")
 
     def find(batches):
         out: set[str] = set()
+        n = 0
         for b in batches:
+            n += b.num_rows
             for _, piece in pieces(strings(b.column(0))):
                 texts = [t.lower() for t in piece.to_pylist()]
                 code, start, end, row, local = words_of(texts)
@@ -317,9 +322,10 @@ def natural(docs: DataFrame, labels: DataFrame, automaton: Automaton, bound: int
                     if v % 2:
                         s = int(local[w])
                         out.add(form_of(texts[row[w]][s : s + int(end[w] - start[w])], *automaton.terms[v // 2]))
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.string())], ["word"])
+        yield pa.RecordBatch.from_arrays([pa.array([None, *sorted(out)], pa.string()), pa.array([n] + [0] * len(out), pa.int64())], ["word", "n"])
 
-    return frozenset(r.word for r in sample.mapInArrow(find, "word string").distinct().collect())
+    found = sample.mapInArrow(find, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    return frozenset(r.word for r in found if r.word is not None), sum(r.n for r in found)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame | None = None, terms: tuple[str, ...] = TERMS, threshold: float = THRESHOLD) -> DataFrame:
@@ -328,26 +334,32 @@ def toxic_documents(docs: DataFrame, labels: DataFrame | None = None, terms: tup
     if labels is not None:
         lexicon += learn(docs, labels, terms)
     automaton = Automaton(lexicon)
-    safe = natural(docs, labels, automaton) if labels is not None else frozenset()
+    safe, n_safe = natural(docs, labels, automaton) if labels is not None else (frozenset(), 0)
+    fuzzy = 1.0 if n_safe >= SAFE_DOCS else FUZZY_SCORE
     held = docs.sparkSession.sparkContext.broadcast((automaton, safe))
 
     def find(batches):
         automaton, safe = held.value
         for b in batches:
             per: dict[int, list] = {}
+            best: dict[tuple[int, str], int] = {}
             for at, piece in pieces(strings(b.column(1)), 1 << 19):
-                for row, form, term, score in hits([t.lower() for t in piece.to_pylist()], automaton, safe):
-                    if form is None or not any(f == form for _, _, f in per.get(at + row, ())):
-                        per.setdefault(at + row, []).append((term, score, form))
-            per = {r: h for r, h in per.items() if round(sum(s for _, s, _ in h), 6) >= threshold}
+                for row, form, term, score in hits([t.lower() for t in piece.to_pylist()], automaton, safe, fuzzy):
+                    own = per.setdefault(at + row, [])
+                    n = len(own) if form is None else best.setdefault((at + row, form), len(own))
+                    if n == len(own):
+                        own.append((term, score))
+                    elif score > own[n][1]:
+                        own[n] = term, score
+            per = {r: h for r, h in per.items() if round(sum(s for _, s in h), 6) >= threshold}
             quotes = {round(x * QUOTED, 9) for x in (1.0, FUZZY_SCORE)}
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).take(pa.array(list(per), pa.int64())),
-                    pa.array([round(sum(s for _, s, _ in h), 6) for h in per.values()], pa.float64()),
+                    pa.array([round(sum(s for _, s in h), 6) for h in per.values()], pa.float64()),
                     pa.array([len(h) for h in per.values()], pa.int64()),
-                    pa.array([sum(round(s, 9) in quotes for _, s, _ in h) for h in per.values()], pa.int64()),
-                    pa.array([sorted({t for t, _, _ in h}) for h in per.values()], pa.list_(pa.string())),
+                    pa.array([sum(round(s, 9) in quotes for _, s in h) for h in per.values()], pa.int64()),
+                    pa.array([sorted({t for t, _ in h}) for h in per.values()], pa.list_(pa.string())),
                 ],
                 ["doc_id", "score", "n_hits", "n_quoted", "terms"],
             )

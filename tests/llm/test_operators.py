@@ -168,13 +168,20 @@ def test_toxicity_misspelled_stems():
     a = toxicity.Automaton([("réeux", True), ("bomente", True)])
 
     def found(word, safe=frozenset()):
-        return [(term, form) for _, form, term, _ in toxicity.hits([word], a, safe)]
+        return [(term, form) for _, form, term, _ in toxicity.hits([word], a, safe, 1.0)]
 
     assert all(found(w) for w in ("bomentes", "bomxentes", "bomntes", "bxmentes", "réxuxen"))
     assert not any(found(w) for w in ("bxmxntes", "xbomentes", "boment", "réeu", "moment"))
     assert not found("bomxentes", frozenset({"bomxente"})) and not found("bomxenterie", frozenset({"bomxente"}))
 
 
+def test_toxicity_misspelling_alone_by_its_best_occurrence(spark):
+    clean = [(1000 + i, prose(i)) for i in range(toxicity.SAFE_DOCS)]
+    texts = [(1, "you idiiot"), (2, "idiiot " * 50), (3, 'she wrote "idiiot" and then shouted at length: such an idiiot'), (4, 'he said "idiiot"'), *clean]
+    got = toxicity.toxic_documents(docs(spark, texts), labels(spark, [(i, 1, 0) for i, _ in clean]))
+    assert {r.doc_id: r.n_hits for r in got.collect()} == {1: 1, 2: 1, 3: 1}
+
+
 def test_toxicity_messy(spark):
     assert rows(toxicity.toxic_documents(messy(spark), labels(spark))) == [] and rows(toxicity.toxic_documents(docs(spark, []), labels(spark))) == []
     assert toxicity.toxic_documents(docs(spark, [(None, "scum"), (3, "scum"), (3, "scum")])).count() == 3
