@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -194,28 +195,47 @@ def misspells(word: str, term: str, stem: bool) -> bool:
     return word[0] == term[0] and any(w[-1:] == term[-1] and edits_within_one(w, term) for w in (word[: len(term) + d] for d in (-1, 0, 1)))
 
 
-def quoted(text: str, s: int, e: int) -> bool:
-    """Whether quotation marks enclose ``text[s:e]`` in its line, or a reporting word stands shortly before."""
-    lo = text.rfind("\n", 0, s) + 1
-    hi = text.find("\n", e)
-    left, right = text[max(lo, s - 80) : s], text[e : min(len(text) if hi < 0 else hi, e + 80)]
+def enclosed(line: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches of a line between paired quotation marks, apart and in order."""
+    spans = []
     for o, c in zip(_OPEN, _CLOSE):
-        if o == c:
-            if o == "'":
-                opened = len(re.findall(r"(?<!\w)'(?=\w)", left + text[s])) > len(re.findall(r"(?<=\w)'(?!\w)", left))
-                if opened and re.search(r"(?<=[\w.,!?])'(?!\w)", text[e - 1] + right):
-                    return True
-            elif left.count(o) % 2 and o in right:
-                return True
-        elif left.rfind(o) > left.rfind(c) and c in right:
-            return True
-    return any(w in REPORTING for w in _WORD.findall(left)[-CONTEXT:])
+        if o not in line:
+            continue
+        opens = {'"': r'(?<!\w)"', "'": r"(?<!\w)'(?=\w)"}.get(o, o)
+        closes = {'"': r'"(?!\w)', "'": r"(?<=[\w.,!?])'(?!\w)", "’": r"’(?!\w)"}.get(c, c)
+        start = None
+        for m in re.finditer(f"(?=(?P<o>{opens})?)(?=(?P<c>{closes})?)[{o}{c}]", line):
+            if start is not None and m["c"]:
+                spans.append((start, m.start()))
+                start = None
+            elif start is None and m["o"]:
+                start = m.end()
+    starts, ends = [], []
+    for s, e in sorted(spans):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
+
+
+def quoted(text: str, s: int, e: int, lines: dict) -> bool:
+    """Whether quotation marks enclose ``text[s:e]`` in its line, or a reporting word stands shortly before; ``lines`` keeps the text's pairs by line."""
+    lo = text.rfind("\n", 0, s) + 1
+    if lo not in lines:
+        hi = text.find("\n", e)
+        lines[lo] = enclosed(text[lo : len(text) if hi < 0 else hi])
+    starts, ends = lines[lo]
+    i = bisect_right(starts, s - lo) - 1
+    return i >= 0 and e - lo <= ends[i] or any(w in REPORTING for w in _WORD.findall(text[max(lo, s - 80) : s])[-CONTEXT:])
 
 
 def hits(texts: list[str], automaton: Automaton, safe: frozenset[str], fuzzy: float):
     """(row, misspelled form or None, term, score) of each hit in lower-cased texts."""
     code, start, end, row, local = words_of(texts)
     word, value = automaton.match(code, start, end)
+    lines: dict[int, dict] = {}
     for w, v in zip(word.tolist(), value.tolist()):
         text, s = texts[row[w]], int(local[w])
         e = s + int(end[w] - start[w])
@@ -229,7 +249,7 @@ def hits(texts: list[str], automaton: Automaton, safe: frozenset[str], fuzzy: fl
             if not (mine.startswith(term) if stem else mine == term):
                 continue
             score = 1.0
-        if quoted(text, s, e):
+        if quoted(text, s, e, lines.setdefault(int(row[w]), {})):
             score *= QUOTED
         elif any(x in SECOND for x in _WORD.findall(text[max(0, s - 60) : s])[-CONTEXT:] + _WORD.findall(text[e : e + 60])[:CONTEXT]):
             score *= DIRECT

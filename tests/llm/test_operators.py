@@ -182,6 +182,12 @@ def test_toxicity_misspelling_alone_by_its_best_occurrence(spark):
     assert {r.doc_id: r.n_hits for r in got.collect()} == {1: 1, 2: 1, 3: 1}
 
 
+def test_toxicity_quotation_marks_pair_over_the_line(spark):
+    far = "river stone lamp " * 12
+    texts = [(1, f'he told us "{far}idiot {far}" and left'), (2, f'"{far}" such an idiot, "{far}'), (3, f"a 5\" pipe {far}. \"idiot\""), (4, f"«{far}idiot{far}»"), (5, f'"{far}\nidiot {far}"')]
+    assert {r.doc_id for r in toxicity.toxic_documents(docs(spark, texts)).collect()} == {2, 5}
+
+
 def test_toxicity_messy(spark):
     assert rows(toxicity.toxic_documents(messy(spark), labels(spark))) == [] and rows(toxicity.toxic_documents(docs(spark, []), labels(spark))) == []
     assert toxicity.toxic_documents(docs(spark, [(None, "scum"), (3, "scum"), (3, "scum")])).count() == 3
