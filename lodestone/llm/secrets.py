@@ -1,10 +1,10 @@
 """Secret scan by token efficiency: random strings need many tokens for few characters.
 
 Candidates are runs of at least ``MIN_CHARS`` characters of ``[A-Za-z0-9+/_-]`` (with trailing ``=``) that
-hold a digit or mixed case. Each is encoded with a tiktoken vocabulary; a run with at most ``MAX_RATIO``
+hold a digit or mixed case, and any runs of ``NAMED_CHARS`` right after a credential's name. Each is encoded with a tiktoken vocabulary; a run with at most ``MAX_RATIO``
 characters a token is reported. Before that, known digests (hex of a digest's length) and identifiers (only
-digits, UUIDs, parts of addresses and links, parts of words with letters beyond ASCII) are set aside - but not where a
-credential's name stands just before the run (``token = "..."``), since a key may look like a digest.
+digits, UUIDs, parts of addresses and links, parts of words with letters beyond ASCII; other characters beyond ASCII,
+such as typographic quotes, may touch a run) are set aside - but not where a credential's name stands just before the run (``token = "..."``), since a key may look like a digest.
 
 Defined results: null and empty texts and texts without such runs give no row; a null ``doc_id`` is carried
 as null; repeated rows and repeated runs are reported each; ``start`` counts characters from 0; other columns
@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from ._text import buffers, pieces, strings
 
 MIN_CHARS = 16
+#: Shorter words are often a token for two characters, whatever they are.
+NAMED_CHARS = 8
 MAX_RATIO = 2.0
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -35,7 +38,8 @@ for _c in b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-":
 _DIGIT, _UPPER, _LOWER = (np.zeros(256, bool) for _ in range(3))
 _DIGIT[48:58] = _UPPER[65:91] = _LOWER[97:123] = True
 
-CREDENTIAL = re.compile(rb"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)s?\W{0,5}$", re.I)
+NAME = re.compile(rb"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential)s?", re.I)
+CREDENTIAL = re.compile(NAME.pattern + rb"\W{0,5}$", re.I)
 DIGEST = re.compile(rb"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_CHARS = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(rb"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}\Z")
@@ -54,6 +58,11 @@ def encoder(path: str = VOCABULARY):
     return _encoders[path]
 
 
+def in_word(c: str) -> bool:
+    """Whether a character beyond ASCII continues a word."""
+    return c > "\x7f" and (c.isalnum() or unicodedata.category(c)[0] == "M")
+
+
 def excluded(run: bytes, before: bytes, after: bytes) -> str | None:
     """Why a run is no candidate: ``digest``, ``identifier`` or ``word``; None where it is one."""
     named = CREDENTIAL.search(before)
@@ -63,7 +72,7 @@ def excluded(run: bytes, before: bytes, after: bytes) -> str | None:
         return "identifier"
     if DIGEST.match(run) and len(run) in DIGEST_CHARS:
         return "digest"
-    if (before and before[-1] >= 128) or (after and after[0] >= 128):
+    if in_word(before.decode(errors="ignore")[-1:]) or in_word(after.decode(errors="ignore")[:1]):
         return "word"
     token = re.search(rb"\S*\Z", before)[0] + run + re.match(rb"\S*", after)[0]
     if b"://" in token or re.match(rb"[^@]*@[\w-]+\.", token) or token.startswith(b"www."):
@@ -84,15 +93,18 @@ def scan(col, min_chars: int, max_ratio: float, vocabulary: str):
         edge[off] = True
         cuts = np.flatnonzero(edge)
         start, end = cuts[:-1], cuts[1:]
-        use = own[start] & (end - start >= min_chars)
+        names = np.array([-9, *(m.end() for m in NAME.finditer(data.tobytes()))])
+        near = start - names[np.searchsorted(names, start, "right") - 1] <= 5  # what CREDENTIAL allows between
+        use = own[start] & (end - start >= np.where(near, min(NAMED_CHARS, min_chars), min_chars))
         start, end = start[use], end[use]
         sums = [np.concatenate([[0], np.cumsum(k[data])]) for k in (_DIGIT, _UPPER, _LOWER)] if len(start) else []
         for s, e in zip(start.tolist(), end.tolist()):
             digit, upper, lower = (int(c[e] - c[s]) for c in sums)
-            if not (digit or (upper > 1 and lower)):
-                continue
             row = int(np.searchsorted(off, s, "right")) - 1
             lo, hi = int(off[row]), int(off[row + 1])
+            plain = e - s < min_chars or not (digit or (upper > 1 and lower))
+            if plain and not CREDENTIAL.search(data[max(lo, s - 48) : s].tobytes()):
+                continue
             while e < hi and data[e] == 61:
                 e += 1
             run = data[s:e].tobytes()

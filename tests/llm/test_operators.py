@@ -35,6 +35,13 @@ def test_secrets_messy(spark):
     assert two.count() == 2
 
 
+def test_secrets_named_without_digits_and_beside_punctuation(spark):
+    lower, short, key = "qzjxkvwqpbzhxgfkjvtq", "k9Zq3xW7v", "9aQw3ErTy7UiOpLkJhGfDsAzXcVbNm12"
+    texts = [(1, f"password={lower}"), (2, f"pwd: {short}"), (3, f"“{key}”"), (4, f"«{key}»"), (5, f"{key}—"), (6, f"é{key}"), (7, f"x {lower} {short}"), (8, "password=international token is secret authentication")]
+    got = secrets.secret_scan(docs(spark, texts)).collect()
+    assert {r.doc_id: r.n_chars for r in got} == {1: 20, 2: 9, 3: 32, 4: 32, 5: 32} and len(got) == 5
+
+
 # ---- 2 lines
 def deleted_by_brute_force(texts):
     """Words (doc, index) that a run of shared lines covers, by comparing every pair of texts."""
