@@ -3,7 +3,8 @@
 Every whole text is encoded; documents are aggregated by length. For each occurring length L, taken as a
 context limit, the suffix sums give the documents beyond it, the tokens that documents hold in all, the total
 after truncation at L and the share of documents within it (the inverse of the quantile function). Between
-two occurring lengths all answers follow from the lower one: see ``at_limit``.
+two occurring lengths all answers follow from the lower one: see ``at_limit``; ``quantile`` gives the length that a
+share of the documents doesn't exceed.
 
 Defined results: null and empty texts are documents of 0 tokens; an empty table gives no row; repeated rows
 count each; ``doc_id`` and other columns don't matter.
@@ -15,16 +16,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .secrets import VOCABULARY, encoder
+from ._tokens import VOCABULARY, encode, on_executor, shipped
 
 
 def lengths(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(*keep, n_tokens) of every row."""
 
+    name = shipped(docs.sparkSession, vocabulary)
+
     def count(batches):
-        enc = encoder(vocabulary).encode_ordinary
+        enc = on_executor(name)
         for b in batches:
-            n = [len(enc(t.as_py())) if t.is_valid else 0 for t in b.column(len(keep))]
+            n = [len(encode(enc, t.as_py())) if t.is_valid else 0 for t in b.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(n, pa.int64())], [*keep, "n_tokens"])
 
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
@@ -62,5 +65,14 @@ def at_limit(report: DataFrame, limit: int) -> DataFrame:
     return low.crossJoin(every).select(over.alias("docs_over"), kept.alias("truncated_total"), (F.col("tokens") - kept).alias("tokens_lost"))
 
 
+def quantile(report: DataFrame, share: float) -> DataFrame:
+    """(context_limit): the smallest length that at least ``share`` of the documents don't exceed; null for an empty report."""
+    if not 0 <= share <= 1:
+        raise ValueError("a share is from 0 to 1")
+    every = report.agg(F.sum("n_docs").alias("docs"))
+    # The right side has one row.
+    return report.crossJoin(F.broadcast(every)).where(F.col("docs_within") >= F.lit(share) * F.col("docs")).agg(F.min("context_limit").alias("context_limit"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
