@@ -1,30 +1,36 @@
 """Vector bin packing of training examples under limits on tokens, segments and loss-bearing tokens.
 
-Examples are cut at ``min(max_tokens, max_loss)`` tokens into pieces (so each piece fits a sequence alone and no token
-is lost), spread by hash over groups of about ``GROUP`` pieces, and each group is packed by itself with the
-dot-product heuristic: the open sequence takes the fitting piece with the largest
-``sum_d weight_d * size_d * free_d`` (sizes and free room as shares of the limits, ``weight_d`` the group's mean size), and when none
-fits the next sequence is opened. The number of groups grows with the input; a group's work doesn't.
-
-Defined results: an example without tokens (null or empty texts) gets one row with ``bin_id`` null; ties go to
-the smaller (ex_id, piece); a null ``ex_id`` is one example's name like any other; an empty table gives no row.
-Repeated conversation turns are repeated text of the same example; repeated documents are examples each.
+An example is cut only where a limit is exceeded: each piece takes tokens in reading order until the next one would
+exceed ``max_tokens`` or ``max_loss``, so one that fits stays whole and no token is lost. The pieces are written
+once, numbered as they lie, spread evenly over groups of about ``GROUP`` pieces (one partition each, named by
+its number, whatever keys repeat), and each group is packed by itself with the dot-product heuristic: the open
+sequence takes the fitting piece with the largest ``sum_d weight_d * size_d * free_d`` (sizes and free room as shares of
+the limits, ``weight_d`` the group's mean size), and when none fits the next sequence is opened. The number of
+groups grows with the input; a group's work doesn't.
+
+The result has one row for each sequence: token ids, loss mask, and which example's piece lies where.
+
+Defined results: an example without tokens (null or empty texts) gets a row of its own with ``bin_id`` null; ties go to
+the smaller (ex_id, piece, tokens). Turns of a conversation follow ``turn``; rows of a conversation that are equal in
+turn, loss and text count once; a turn with a null ``conv_id`` is an example of its own; a null turn number comes
+first. A conversation is read in blocks of ``max_tokens`` turn numbers, each cut by itself (a longer one can't fit a
+sequence anyway). Repeated documents are examples each; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._spark import cut
-from .secrets import VOCABULARY
-from .token_counts import lengths
+from ._tokens import VOCABULARY, encode, on_executor, shipped
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 8, 3072
-GROUP = 4096
-OUT = "bin_id long, slot int, ex_id long, piece long, n_tokens long, n_loss long"
+GROUP = 2048
+PIECES = "ex_id long, piece long, n_tokens long, n_loss long, tokens array<int>, loss array<boolean>"
+OUT = "bin_id long, n_tokens long, n_loss long, doc_ids array<long>, pieces array<long>, starts array<int>, tokens array<int>, loss array<boolean>"
 
 
 def dot_product(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,73 +38,156 @@ def dot_product(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.n
     n = len(sizes)
     share = sizes / limits
     value = share * share.mean(axis=0) if n else share
-    left = np.arange(n)
+    # Rows of one size are one class; its rows go in their order.
+    kinds, inverse, often = np.unique(sizes, axis=0, return_inverse=True, return_counts=True)
+    queue = np.argsort(inverse.ravel(), kind="stable")
+    first = np.cumsum(often) - often  # each class's next row in the queue
+    last = first + often
+    value = value[queue[first]] if n else value
     where, slot = np.full(n, -1), np.full(n, -1)
     free, opened, used = limits.copy(), 0, 0
-    live_size, live_value = sizes, value
-    while len(left):
-        fits = (live_size <= free).all(axis=1)
+    live = np.arange(len(kinds))
+    left = n
+    while left:
+        fits = (kinds[live] <= free).all(axis=1)
         if not fits.any():
             free, opened, used = limits.copy(), opened + 1, 0
             continue
-        score = np.where(fits, np.round(live_value @ (free / limits), 12), -1.0)
-        i = int(score.argmax())
-        where[left[i]], slot[left[i]] = opened, used
-        free = free - live_size[i]
+        near = live[fits]
+        score = np.round(value[near] @ (free / limits), 12)
+        ties = near[score == score.max()]
+        c = int(ties[queue[first[ties]].argmin()])
+        row = queue[first[c]]
+        where[row], slot[row] = opened, used
+        free = free - kinds[c]
         used += 1
-        last = np.arange(len(left)) != i
-        left, live_size, live_value = left[last], live_size[last], live_value[last]
+        left -= 1
+        first[c] += 1
+        if first[c] == last[c]:
+            live = live[live != c]
     return where, slot
 
 
+def cuts(loss: np.ndarray, max_tokens: int, max_loss: int) -> list[int]:
+    """Where the pieces of an example with this loss mask begin, and its end."""
+    out, total = [0], np.concatenate([[0], np.cumsum(loss)])
+    while out[-1] < len(loss):
+        full = int(np.searchsorted(total, total[out[-1]] + max_loss, "right")) - 1
+        out.append(min(len(loss), out[-1] + max_tokens, full))
+    return out
+
+
+def cut_examples(examples: DataFrame, max_tokens: int, max_loss: int) -> DataFrame:
+    """``PIECES`` of (ex_id, first_piece, tokens, loss)."""
+
+    def run(batches):
+        for b in batches:
+            for ex, base, tokens, loss in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                t = tokens.values.to_numpy(zero_copy_only=False).astype(np.int32)
+                m = loss.values.to_numpy(zero_copy_only=False).astype(bool)
+                at = cuts(m, max_tokens, max_loss) if len(t) else [0, 0]
+                step = 1024  # pieces of a very long example leave in several batches
+                for lo in range(0, len(at) - 1, step):
+                    part = at[lo : lo + step + 1]
+                    n = np.diff(part)
+                    bounds = pa.array(np.array(part) - part[0], pa.int32())
+                    span = slice(part[0], part[-1])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ex] * len(n), pa.int64()), pa.array(base + lo + np.arange(len(n))), pa.array(n), pa.array([int(m[x:y].sum()) for x, y in zip(part, part[1:])], pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(t[span])), pa.ListArray.from_arrays(bounds, pa.array(m[span]))],
+                        ["ex_id", "piece", "n_tokens", "n_loss", "tokens", "loss"],
+                    )
+
+    return examples.select("ex_id", "first_piece", "tokens", "loss").mapInArrow(run, PIECES)
+
+
 def pack(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, group: int = GROUP) -> DataFrame:
-    """Pack (ex_id, spans: array of (n_tokens, loss) in reading order); one row for each piece of each example."""
+    """Pack (ex_id, first_piece, tokens, loss); one row for each sequence (``OUT``; ``doc_ids`` holds the ex_ids, ``starts`` where each piece begins)."""
     if min(max_tokens, max_segments, max_loss) < 1:
         raise ValueError("limits must be positive")
-    step = min(max_tokens, max_loss)
-    ex = examples.select("ex_id", "spans", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["n_tokens"]).alias("total"))
-
-    def loss_within(lo, hi):
-        """Loss-bearing tokens of an example from token ``lo`` to ``hi``."""
-        zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("n"))
-        return F.aggregate(
-            "spans",
-            zero,
-            lambda a, s: F.struct((a["at"] + s["n_tokens"]).alias("at"), (a["n"] + F.when(s["loss"], F.greatest(F.lit(0).cast("long"), F.least(hi, a["at"] + s["n_tokens"]) - F.greatest(lo, a["at"]))).otherwise(F.lit(0).cast("long"))).alias("n")),
-            lambda a: a["n"],
-        )
-
-    cuts = F.when(F.col("total") > 0, F.sequence(F.lit(0).cast("long"), F.floor((F.col("total") - 1) / step)))
-    rows = ex.select("ex_id", "spans", "total", F.explode_outer(cuts).alias("piece"))
-    lo = F.col("piece") * step
-    hi = F.least(F.col("total"), lo + step)
-    sized = cut(rows.select("ex_id", F.coalesce("piece", F.lit(0).cast("long")).alias("piece"), F.when(F.col("total") > 0, hi - lo).otherwise(F.lit(0)).cast("long").alias("n_tokens"), F.when(F.col("total") > 0, loss_within(lo, hi)).otherwise(F.lit(0)).cast("long").alias("n_loss")))
-    packed = sized.where("n_tokens > 0")
+    rows = cut(cut_examples(examples, max_tokens, max_loss))
+    # Numbers of the rows of fixed files: dense inside each read partition, the same on every attempt.
+    packed = rows.where("n_tokens > 0").withColumn("at", F.monotonically_increasing_id())
     groups = max(1, -(-packed.count() // group))
     limits = np.array([max_tokens, max_segments, max_loss], np.int64)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ex_id", "piece", "n_tokens", "n_loss"], kind="stable", na_position="first").reset_index(drop=True)
-        where, slot = dot_product(np.column_stack([pdf.n_tokens, np.ones(len(pdf), np.int64), pdf.n_loss]).astype(np.int64), limits)
-        return pd.DataFrame({"bin_id": where + (pdf["grp"].astype("int64") * (1 << 20)), "slot": slot, "ex_id": pdf.ex_id.astype("Int64"), "piece": pdf.piece, "n_tokens": pdf.n_tokens, "n_loss": pdf.n_loss})
+    def one(batches):
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got).combine_chunks()
+        t = t.take(pa.array(np.lexsort([t.column(i).fill_null(-(1 << 62)).to_numpy() for i in (3, 2, 1, 0)])))
+        size = np.column_stack([t.column(2).to_numpy(), np.ones(len(t), np.int64), t.column(3).to_numpy()])
+        where, slot = dot_product(size, limits)
+        order = np.lexsort([slot, where])
+        t, where, size = t.take(pa.array(order)), where[order], size[order]
+        t = t.combine_chunks()
+        first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+        upto = np.append(first, len(where))
+        offset = np.concatenate([[0], np.cumsum(size[:, 0])])
+        by_piece, by_token = pa.array(upto, pa.int32()), pa.array(offset[upto], pa.int32())
+        flat = [t.column(i).chunk(0) for i in (0, 1, 4, 5)]
+        begin = offset[:-1] - np.repeat(offset[first], np.diff(upto))
+        grp = t.column(6)[0].as_py()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(where[first] + (grp << 20)),
+                pa.array(np.add.reduceat(size[:, 0], first)),
+                pa.array(np.add.reduceat(size[:, 2], first)),
+                pa.ListArray.from_arrays(by_piece, flat[0]),
+                pa.ListArray.from_arrays(by_piece, flat[1]),
+                pa.ListArray.from_arrays(by_piece, pa.array(begin, pa.int32())),
+                pa.ListArray.from_arrays(by_token, flat[2].flatten()),
+                pa.ListArray.from_arrays(by_token, flat[3].flatten()),
+            ],
+            [c.split()[0] for c in OUT.split(", ")],
+        )
 
-    done = packed.withColumn("grp", F.pmod(F.xxhash64("ex_id", "piece"), F.lit(groups))).groupBy("grp").applyInPandas(one, OUT)
-    none = sized.where("n_tokens = 0").select(F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("int").alias("slot"), "ex_id", "piece", "n_tokens", "n_loss")
+    spread = packed.withColumn("grp", F.pmod(F.xxhash64("at"), F.lit(groups)).cast("int"))
+    done = spread.repartitionById(groups, "grp").drop("at").mapInArrow(one, OUT)
+    zero = F.lit(0).cast("long")
+    none = rows.where("n_tokens = 0").select(F.lit(None).cast("long").alias("bin_id"), zero.alias("n_tokens"), zero.alias("n_loss"), F.array("ex_id").alias("doc_ids"), F.array("piece").alias("pieces"), F.array(F.lit(0)).alias("starts"), "tokens", "loss")
     return done.unionByName(none)
 
 
-def conversation_examples(turns: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def encoded(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``rows`` with the token ids of their last column, ``text``, in its place."""
+    name = shipped(rows.sparkSession, vocabulary)
+    keep = rows.dtypes[:-1]
+
+    def run(batches):
+        enc = on_executor(name)
+        for b in batches:
+            got, size, at = [], 0, 0
+            for i, t in enumerate(b.column(len(keep))):
+                got.append(encode(enc, t.as_py()) if t.is_valid else [])
+                size += len(got[-1])
+                if size > 1 << 20 or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(at, len(got)) for c in b.columns[: len(keep)]), pa.array(got, pa.list_(pa.int32()))], [*(c for c, _ in keep), "tokens"])
+                    got, size, at = [], 0, i + 1
+
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in keep), "tokens array<int>"]))
+
+
+def conversation_examples(turns: DataFrame, vocabulary: str = VOCABULARY, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Each conversation as one example; its assistant turns bear the loss."""
-    rows = turns.select(F.col("conv_id").cast("long").alias("ex_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("loss"), "text")
-    n = lengths(rows, vocabulary, keep=("ex_id", "turn", "loss"))
-    ordered = F.sort_array(F.collect_list(F.struct("turn", "loss", "n_tokens")))
-    return n.groupBy("ex_id").agg(ordered.alias("spans")).select("ex_id", F.transform("spans", lambda s: F.struct(s["n_tokens"].alias("n_tokens"), s["loss"].alias("loss"))).alias("spans"))
+    rows = turns.select(F.col("conv_id").cast("long").alias("ex_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("loss"), F.col("text").cast("string").alias("text"))
+    n = encoded(rows, vocabulary)
+    block = F.coalesce(F.floor(F.col("turn") / max_tokens), F.lit(0)).cast("long")
+    lone = F.when(F.col("ex_id").isNull(), F.monotonically_increasing_id())
+    # Sets, so that copies of a turn are merged before they move.
+    whole = n.withColumn("lone", lone).groupBy("ex_id", "lone", block.alias("block")).agg(F.sort_array(F.collect_set(F.struct("turn", "loss", "tokens"))).alias("turns"))
+    return whole.select("ex_id", F.when(F.col("lone").isNull(), F.shiftleft("block", 32)).otherwise(F.lit(0)).alias("first_piece"), F.flatten("turns.tokens").alias("tokens"), F.flatten(F.transform("turns", lambda t: F.transform(t["tokens"], lambda _: t["loss"]))).alias("loss"))
 
 
 def document_examples(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """Each document as one example that bears loss on every token."""
-    n = lengths(docs.select(F.col("doc_id").cast("long").alias("ex_id"), "text"), vocabulary, keep=("ex_id",))
-    return n.select("ex_id", F.array(F.struct("n_tokens", F.lit(True).alias("loss"))).alias("spans"))
+    n = encoded(docs.select(F.col("doc_id").cast("long").alias("ex_id"), F.col("text").cast("string").alias("text")), vocabulary)
+    return n.select("ex_id", F.lit(0).cast("long").alias("first_piece"), "tokens", F.transform("tokens", lambda _: F.lit(True)).alias("loss"))
+
+
+def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Whole documents packed; every token bears loss, so the limit on those is the limit on tokens."""
+    return pack(document_examples(docs, vocabulary), MAX_TOKENS, MAX_SEGMENTS, MAX_TOKENS)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
