@@ -4,12 +4,15 @@ A document is its set of hashed word trigrams (lower case, marks dropped). One p
 sigma, shuffles the set once; the second, pi, is shifted circularly for each coordinate:
 ``h_k = min pi(sigma(x) - k mod 2^32)``. ``BANDS`` bands of ``ROWS`` coordinates give the candidates.
 
-Documents with equal sets are one from the start. Inside a band's bucket each document is paired with the
-bucket's first document and with the one before it (linear in the bucket, whatever its size); pairs are
-verified on the whole texts, verified pairs give connected components, and buckets that still hold several
-components are then paired fully across components, so every candidate pair ends in one component or has been
-examined itself. Pairs whose signatures (one byte of each coordinate) agree in a share that is ``SLACK`` below the threshold - more than
-four standard deviations - need no texts. Only the texts that pairs name are moved. A group is a component of verified pairs (Jaccard >= ``THRESHOLD``).
+Documents with equal sets are one from the start: inside a batch each copy is linked to the batch's first, and only
+those go on. Inside a band's bucket each set is paired with the bucket's first and with the one before it
+(linear in the bucket, whatever its size); pairs are verified exactly, verified pairs give connected components, and
+the members of buckets that still hold several components are then compared across components by signature, in blocks
+of ``BLOCK`` (a task for each pair of blocks of a large bucket; what isn't likely is never emitted). Pairs whose
+signatures (one byte of each coordinate) agree in a share that is ``SLACK`` below the threshold - more than four standard
+deviations - count as unlike; every other candidate pair ends in one component or has been verified itself.
+Verification moves the 32-bit shingle sets of documents that pairs name, which an id filter of bounded size picks
+before anything is shuffled. A group is a component of verified pairs (Jaccard >= ``THRESHOLD``).
 
 Defined results: null and empty texts and texts without words aren't compared and form groups of their own;
 texts of fewer than three words compare as a whole; the smallest ``doc_id`` of a group represents it; rows
@@ -24,14 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut, sized
-from ._text import PIECE, Tokens, mix, pieces, strings
+from ._spark import cut, maybe_in, without_ids
+from ._text import Tokens, mix, pieces, strings
 
 SHINGLE = 3
 BANDS, ROWS = 48, 4
 THRESHOLD = 0.5
 SLACK = 0.2
-BROADCAST_BYTES = 32 << 20
+#: Members of a bucket that are compared with each other in one task.
+BLOCK = 512
 
 
 def sigma(x: np.ndarray) -> np.ndarray:
@@ -84,39 +88,68 @@ def signatures(shingle: np.ndarray, starts: np.ndarray, n: int = BANDS * ROWS) -
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, set1, set2, n, bands, sig): two sums over the set as its name, a hash for each band, a byte of each coordinate."""
+    """(doc_id, set1, set2, n, same, bands, sig): two sums over the set as its name, a hash for each band, a byte of each coordinate.
+
+    ``same`` is the document with an equal set that comes first in the batch; those behind it have no bands and signature.
+    """
 
     def find(batches):
         for b in batches:
             ids = b.column(0)
+            seen: dict[tuple[int, int, int], int] = {}
             for at, piece in pieces(strings(b.column(1), lower=True)):
                 row, s = shingles(piece)
                 if not len(row):
                     continue
                 starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-                sig = signatures(s, starts, bands * rows)
-                low = np.ascontiguousarray((sig & np.uint32(255)).astype(np.uint8).T)
-                sig = sig.astype(np.uint64)
                 wide = s.astype(np.uint64)
                 one, two = (np.add.reduceat(mix(wide + np.uint64(c)), starts).view(np.int64) for c in (0x1234567, 0x7654321 << 20))
+                n = np.diff(np.append(starts, len(s)))
+                own = ids.take(pa.array(at + row[starts]))
+                same, new = np.empty(len(starts), np.int64), np.zeros(len(starts), bool)
+                for i, (k, doc) in enumerate(zip(zip(one.tolist(), two.tolist(), n.tolist()), own.to_pylist())):
+                    new[i] = k not in seen
+                    same[i] = seen.setdefault(k, doc)
+                firsts = np.flatnonzero(new)
+                sig = np.zeros((bands * rows, 0), np.uint32)
+                if len(firsts):
+                    keep = np.repeat(new, n)
+                    sig = signatures(s[keep], np.cumsum(n[firsts]) - n[firsts], bands * rows)
+                low = np.ascontiguousarray((sig & np.uint32(255)).astype(np.uint8).T)
+                sig = sig.astype(np.uint64)
                 with np.errstate(over="ignore"):
                     keys = []
                     for k in range(bands):
-                        h = np.full(len(starts), k + 1, np.uint64)
+                        h = np.full(len(firsts), k + 1, np.uint64)
                         for r in range(rows):
                             h = mix(h * np.uint64(0x9E3779B97F4A7C15) + sig[k * rows + r])
                         keys.append(h.view(np.int64))
-                n = np.diff(np.append(starts, len(s)))
                 flat = pa.array(np.ascontiguousarray(np.stack(keys, axis=1)).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(starts) + 1, bands), pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at + row[starts])), pa.array(one), pa.array(two), pa.array(n), lists, pa.array([x.tobytes() for x in low], pa.binary())], ["doc_id", "set1", "set2", "n", "bands", "sig"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * len(firsts) + 1, bands), pa.int32()), flat)
+                place = pa.array(np.where(new, np.cumsum(new) - 1, 0), mask=~new)
+                yield pa.RecordBatch.from_arrays([own, pa.array(one), pa.array(two), pa.array(n), pa.array(same), lists.take(place), pa.array([x.tobytes() for x in low], pa.binary()).take(place)], ["doc_id", "set1", "set2", "n", "same", "bands", "sig"])
+
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(find, "doc_id long, set1 long, set2 long, n long, same long, bands array<long>, sig binary")
 
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(find, "doc_id long, set1 long, set2 long, n long, bands array<long>, sig binary")
+
+def agreement(sa: list[bytes], sb: list[bytes]) -> np.ndarray:
+    """Share of equal coordinates of each of one list with each of the other."""
+    a, b = (np.frombuffer(b"".join(x), np.uint8).reshape(len(x), -1) for x in (sa, sb))
+    out = np.empty((len(a), len(b)), np.float32)
+    for i in range(len(a)):
+        out[i] = (a[i] == b).mean(axis=1)
+    return out
+
+
+def signatures_of(ids: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(id, sig) of the documents named by ``ids`` (id) and maybe of some others, each set of one document once."""
+    rows = sketches.select(F.col("doc_id").alias("id"), "set1", "sig")
+    return maybe_in(rows, "id", ids, "may").where("may").select("id", "set1", "sig").repartition("id").dropDuplicates(["id", "set1"]).select("id", "sig")
 
 
 def likely(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataFrame:
     """The (a, b) of ``pairs`` whose signatures don't rule the threshold out."""
-    sig = sketches.select(F.col("first").alias("id"), "sig")
+    sig = signatures_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), sketches)
     both = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def compare(batches):
@@ -132,26 +165,31 @@ def jaccard(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """The (a, b) of ``pairs`` (distinct) whose exact similarity reaches ``threshold``."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # Before the texts move: by a broadcast while the ids are few enough for one, by a shuffled join beyond that.
-    texts = texts.join(sized(involved, 16, BROADCAST_BYTES), "id", "left_semi")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+    def reduce(batches):
+        for b in batches:
+            for at, piece in pieces(strings(b.column(1), lower=True)):
+                row, s = shingles(piece)
+                first = np.searchsorted(row, np.arange(len(piece) + 1)).tolist()
+                own = dict.fromkeys((i, s[x:y].tobytes()) for i, x, y in zip(b.column(0).slice(at, len(piece)).to_pylist(), first, first[1:]) if y > x)
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([v for _, v in own], pa.binary())], ["id", "set"])
+
+    # Repeated rows go before the joins.
+    sets = maybe_in(texts, "id", involved, "may").where("may").select("id", "text").mapInArrow(reduce, "id long, set binary").repartition("id").dropDuplicates(["id", "set"])
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def verify(batches):
         for batch in batches:
-            ta, tb = (strings(batch.column(i), lower=True) for i in (2, 3))
-            size = max(1, int(PIECE * len(ta) / max(1, ta.nbytes + tb.nbytes)))
-            for at in range(0, len(ta), size):
-                keys = []
-                for col in (ta.slice(at, size), tb.slice(at, size)):
-                    row, s = shingles(col)
-                    keys.append((row.astype(np.uint64) << np.uint64(32)) | s)
-                rows = min(size, len(ta) - at)
-                n = np.bincount((np.concatenate(keys) >> np.uint64(32)).astype(np.int64), minlength=rows)
-                every = np.sort(np.concatenate(keys))
-                shared = np.bincount((every[1:][every[1:] == every[:-1]] >> np.uint64(32)).astype(np.int64), minlength=rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, rows), batch.column(1).slice(at, rows), pa.array(shared / np.maximum(1, n - shared))], ["a", "b", "jaccard"])
-
-    return both.mapInArrow(verify, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold).select("a", "b").distinct()
+            share = np.empty(batch.num_rows)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint32) for v in (x, y))
+                every = np.sort(np.concatenate([x, y]), kind="stable")
+                shared = int((every[1:] == every[:-1]).sum())
+                share[i] = shared / (len(every) - shared)
+            use = pa.array(share >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(use), batch.column(1).filter(use)], ["a", "b"])
+
+    return both.mapInArrow(verify, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,27 +213,59 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def across(rest: DataFrame, known: DataFrame, sketches: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Likely (a, b) across components (``root``) of the buckets (h, id, root, n), without those of ``known``.
+
+    Small buckets are paired by a join, at most ``block / 2`` partners a member. The members of larger ones go to blocks, and
+    a task compares two blocks.
+    """
+    small, large = rest.where(F.col("n") <= block // 2), rest.where(F.col("n") > block // 2)
+    pairs = small.select("h", F.col("id").alias("a"), F.col("root").alias("ra")).join(small.select("h", F.col("id").alias("b"), F.col("root").alias("rb")), "h").where("a < b and ra <> rb").select("a", "b").distinct()
+    found = likely(cut(pairs.join(known, ["a", "b"], "left_anti")), sketches, threshold)
+    if large.isEmpty():
+        return found
+    # Every member is sent to the tasks of its block with each block.
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("id", "h"), blocks).cast("int")
+    sent = large.join(signatures_of(large.select("id").distinct(), sketches), "id").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    sent = sent.select("h", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "id", "root", "sig")
+
+    def compare(table: pa.Table) -> pa.Table:
+        own, lo, hi, ids, root = (table.column(c).to_numpy() for c in ("own", "lo", "hi", "id", "root"))
+        s = table.column("sig").to_pylist()
+        left, right = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
+        if not len(left) or not len(right):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        near = agreement([s[i] for i in left], [s[i] for i in right]) >= threshold - SLACK
+        near &= root[left][:, None] != root[right][None, :]
+        x, y = np.nonzero(near)
+        x, y = ids[left[x]], ids[right[y]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    more = sent.groupBy("h", "lo", "hi").applyInArrow(compare, "a long, b long").distinct()
+    return found.union(more.join(known, ["a", "b"], "left_anti")).distinct()
+
+
+def groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(id, root) of every document that has a near duplicate with a smaller ``doc_id``."""
     found = cut(sketch(docs, bands, rows))
+    firsts = found.where("bands is not null")
     sets = Window.partitionBy("set1", "set2", "n").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    named = cut(found.select("doc_id", "set1", "set2", "n").withColumn("first", F.first("doc_id").over(sets)).where("doc_id <> first").select("doc_id", "first", "set1", "set2", "n").distinct())
-    equal = named.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    single = found.join(sized(named.select("doc_id", "set1", "set2", "n"), 40, BROADCAST_BYTES), ["doc_id", "set1", "set2", "n"], "left_anti").withColumnRenamed("doc_id", "first")
-    keys = single.select(F.col("first").alias("id"), F.explode("bands").alias("h"))
+    equal = firsts.select("doc_id", F.first("doc_id").over(sets).alias("same")).unionByName(found.select("doc_id", "same")).where("doc_id <> same").select(F.col("doc_id").alias("a"), F.col("same").alias("b"))
+    # One exchange by band; of equal sets a bucket counts the smallest document, which is the same in all of them.
+    keys = firsts.select(F.col("doc_id").alias("id"), "set1", F.explode("bands").alias("h")).repartition("h").groupBy("h", "set1").agg(F.min("id").alias("id"))
     order = Window.partitionBy("h").orderBy("id")
     near = keys.withColumns({"head": F.first("id").over(order.rowsBetween(Window.unboundedPreceding, 0)), "prev": F.lag("id").over(order)})
     buckets = cut(near.where("id <> head").select("h", "id", "head", "prev"))
     pairs = cut(buckets.select(F.explode(F.array_distinct(F.array("head", "prev"))).alias("a"), F.col("id").alias("b")).where("a <> b").distinct())
-    good = cut(jaccard(cut(likely(pairs, single, threshold)), docs, threshold).union(equal))
+    good = cut(jaccard(cut(likely(pairs, firsts, threshold)), docs, threshold).union(equal))
     linked = components(good)
-    # Buckets that still hold several components: all pairs across them that haven't been verified.
+    # Buckets that still hold several components.
     members = buckets.select("h", "id").union(buckets.select("h", F.col("head").alias("id"))).distinct()
     labelled = members.join(linked, "id", "left").select("h", "id", F.coalesce("root", "id").alias("root"))
-    mixed = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("h")
-    rest = labelled.join(mixed, "h", "left_semi")
-    cross = rest.select("h", F.col("id").alias("a"), F.col("root").alias("ra")).join(rest.select("h", F.col("id").alias("b"), F.col("root").alias("rb")), "h").where("a < b and ra <> rb").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = cut(jaccard(cut(likely(cross, single, threshold)), docs, threshold))
+    mixed = labelled.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi and n > 2").select("h", "n")
+    rest = cut(labelled.join(mixed, "h"))
+    more = cut(jaccard(cut(across(rest, pairs, firsts, threshold, block)), docs, threshold))
     return components(linked.select(F.col("id").alias("a"), F.col("root").alias("b")).union(more)) if not more.isEmpty() else linked
 
 
@@ -209,8 +279,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int =
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents, all columns, without those that have a near duplicate with a smaller ``doc_id``."""
-    gone = sized(cut(groups(docs, threshold).select("id")), 16, BROADCAST_BYTES)
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["id"], "left_anti")
+    return without_ids(docs, "doc_id", cut(groups(docs, threshold).select("id")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
