@@ -20,12 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import fresh, sized
+from ._spark import fresh, only_ids
 from ._text import Tokens, mix, pieces, strings
 
 BUCKETS = 1 << 14
 THRESHOLD = -0.18
-BROADCAST_BYTES = 16 << 20
 
 _AGAIN = np.uint64(0xA5A5F00D12345677)
 
@@ -44,22 +43,27 @@ def gram_cells(col: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.nd
 
 
 def cell_counts(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """(cell, raw, target) over all documents."""
-    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("trusted", F.lit(True))
-    flagged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sized(ids, 16, BROADCAST_BYTES), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+    """(cell, raw, target) over all documents.
+
+    One pass counts every text where it lies; a second one the trusted texts, which an id filter of bounded size picks
+    before the exact join moves them.
+    """
+    ids = trusted.select(F.col("doc_id").cast("long").alias("id")).where("id is not null").distinct()
 
     def count(batches):
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        n = np.zeros(buckets, np.int64)
         for b in batches:
-            flag = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for at, piece in pieces(strings(b.column(0), lower=True)):
-                doc, cell = gram_cells(piece, buckets)
-                raw += np.bincount(cell, minlength=buckets)
-                target += np.bincount(cell[flag[at : at + len(piece)][doc]], minlength=buckets)
-        seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], ["cell", "raw", "target"])
-
-    return flagged.mapInArrow(count, "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+            for _, piece in pieces(strings(b.column(0), lower=True)):
+                n += np.bincount(gram_cells(piece, buckets)[1], minlength=buckets)
+        seen = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n[seen])], ["cell", "n"])
+
+    def counts(rows, raw):
+        return rows.select("text").mapInArrow(count, "cell long, n long").select("cell", F.when(F.lit(raw), F.col("n")).otherwise(0).alias("raw"), F.when(F.lit(raw), 0).otherwise(F.col("n")).alias("target"))
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    both = counts(own, True).union(counts(only_ids(own, "doc_id", ids), False))
+    return both.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 def ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
