@@ -7,9 +7,9 @@ exactly, and so do a stem's first and last letters), determinised once, and run
 non-toxic labelled documents isn't one.
 
 A hit scores 1, each misspelled form once in a document, by its best occurrence. Without ``SAFE_DOCS`` non-toxic labelled
-documents nothing tells natural words one edit away from misspellings, which then score ``FUZZY_SCORE``. A hit inside quotation marks or after a reporting word within
-``CONTEXT`` words it is taken as quotation and scores ``QUOTED`` of that; with a second person within them,
-``DIRECT`` of it. A document is toxic if its scores sum to ``THRESHOLD``.
+documents nothing tells natural words one edit away from misspellings, which then score ``FUZZY_SCORE``. A hit between quotation marks that pair in its line, or with a reporting
+word among the ``CONTEXT`` words before it in its line, is taken as quotation and scores ``QUOTED`` of that; else, with a second
+person among the ``CONTEXT`` words on either side, ``DIRECT`` of it. A document is toxic if its scores sum to ``THRESHOLD``.
 
 Defined results: only toxic documents give rows; null and empty texts are never toxic; a null ``doc_id`` is
 carried as null; repeated rows are reported each; without labels the given list is the lexicon; other columns
@@ -220,27 +220,21 @@ def enclosed(line: str) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def quoted(text: str, s: int, e: int, lines: dict) -> bool:
-    """Whether quotation marks enclose ``text[s:e]`` in its line, or a reporting word stands shortly before; ``lines`` keeps the text's pairs by line."""
-    lo = text.rfind("\n", 0, s) + 1
-    if lo not in lines:
-        hi = text.find("\n", e)
-        lines[lo] = enclosed(text[lo : len(text) if hi < 0 else hi])
-    starts, ends = lines[lo]
-    i = bisect_right(starts, s - lo) - 1
-    return i >= 0 and e - lo <= ends[i] or any(w in REPORTING for w in _WORD.findall(text[max(lo, s - 80) : s])[-CONTEXT:])
-
-
 def hits(texts: list[str], automaton: Automaton, safe: frozenset[str], fuzzy: float):
-    """(row, misspelled form or None, term, score) of each hit in lower-cased texts."""
+    """(row, misspelled form or None, term, score, quoted) of each hit in lower-cased texts."""
     code, start, end, row, local = words_of(texts)
     word, value = automaton.match(code, start, end)
-    lines: dict[int, dict] = {}
+    newline = np.flatnonzero(code == 10)
+    lines: dict[int, tuple[list[int], list[int]]] = {}
+
+    def text_of(j: int) -> str:
+        return texts[row[j]][local[j] : local[j] + end[j] - start[j]]
+
     for w, v in zip(word.tolist(), value.tolist()):
-        text, s = texts[row[w]], int(local[w])
+        r, s = int(row[w]), int(local[w])
         e = s + int(end[w] - start[w])
         term, stem = automaton.terms[v // 2]
-        mine = text[s:e]
+        mine = texts[r][s:e]
         if v % 2:
             if form_of(mine, term, stem) in safe or not misspells(mine, term, stem):
                 continue
@@ -249,11 +243,22 @@ def hits(texts: list[str], automaton: Automaton, safe: frozenset[str], fuzzy: fl
             if not (mine.startswith(term) if stem else mine == term):
                 continue
             score = 1.0
-        if quoted(text, s, e, lines.setdefault(int(row[w]), {})):
+        # The line and the whole words around, whatever their lengths; positions are those of the piece.
+        i, base = int(np.searchsorted(newline, start[w])), int(start[w]) - s
+        lo = max(base, int(newline[i - 1]) + 1 if i else 0)
+        if lo not in lines:
+            hi = int(newline[i]) - base if i < len(newline) else len(texts[r])
+            lines[lo] = enclosed(texts[r][lo - base : hi])
+        starts, ends = lines[lo]
+        k = bisect_right(starts, int(start[w]) - lo) - 1
+        before = [j for j in range(max(0, w - CONTEXT), w) if row[j] == r]
+        after = [j for j in range(w + 1, min(len(row), w + 1 + CONTEXT)) if row[j] == r]
+        quoted = k >= 0 and int(end[w]) - lo <= ends[k] or any(text_of(j) in REPORTING for j in before if start[j] >= lo)
+        if quoted:
             score *= QUOTED
-        elif any(x in SECOND for x in _WORD.findall(text[max(0, s - 60) : s])[-CONTEXT:] + _WORD.findall(text[e : e + 60])[:CONTEXT]):
+        elif any(text_of(j) in SECOND for j in before + after):
             score *= DIRECT
-        yield int(row[w]), mine if v % 2 else None, term, score
+        yield r, mine if v % 2 else None, term, score, quoted
 
 
 def learn(docs: DataFrame, labels: DataFrame, known: tuple[str, ...] = TERMS, bound: int = LEARN_BOUND, sure: float = SURE) -> list[tuple[str, bool]]:
@@ -364,22 +369,21 @@ def toxic_documents(docs: DataFrame, labels: DataFrame | None = None, terms: tup
             per: dict[int, list] = {}
             best: dict[tuple[int, str], int] = {}
             for at, piece in pieces(strings(b.column(1)), 1 << 19):
-                for row, form, term, score in hits([t.lower() for t in piece.to_pylist()], automaton, safe, fuzzy):
+                for row, form, term, score, quoted in hits([t.lower() for t in piece.to_pylist()], automaton, safe, fuzzy):
                     own = per.setdefault(at + row, [])
                     n = len(own) if form is None else best.setdefault((at + row, form), len(own))
                     if n == len(own):
-                        own.append((term, score))
+                        own.append((term, score, quoted))
                     elif score > own[n][1]:
-                        own[n] = term, score
-            per = {r: h for r, h in per.items() if round(sum(s for _, s in h), 6) >= threshold}
-            quotes = {round(x * QUOTED, 9) for x in (1.0, FUZZY_SCORE)}
+                        own[n] = term, score, quoted
+            per = {r: h for r, h in per.items() if round(sum(s for _, s, _ in h), 6) >= threshold}
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0).take(pa.array(list(per), pa.int64())),
-                    pa.array([round(sum(s for _, s in h), 6) for h in per.values()], pa.float64()),
+                    pa.array([round(sum(s for _, s, _ in h), 6) for h in per.values()], pa.float64()),
                     pa.array([len(h) for h in per.values()], pa.int64()),
-                    pa.array([sum(round(s, 9) in quotes for _, s in h) for h in per.values()], pa.int64()),
-                    pa.array([sorted({t for t, _ in h}) for h in per.values()], pa.list_(pa.string())),
+                    pa.array([sum(q for _, _, q in h) for h in per.values()], pa.int64()),
+                    pa.array([sorted({t for t, _, _ in h}) for h in per.values()], pa.list_(pa.string())),
                 ],
                 ["doc_id", "score", "n_hits", "n_quoted", "terms"],
             )
