@@ -1,16 +1,17 @@
 """Quality classifier with hierarchical empirical Bayes over host and path.
 
 A logistic regression on hashed token n-gram shares and a few shape features gives each document's own
-evidence. Documents are grouped by host (``source``) and path (``source``, ``lang``); the expected number of
-good documents in each group updates Beta priors - a path's prior is its host's posterior, a host's the global
-mean, with strengths from the spread between groups (method of moments) - so sparse sites shrink towards the
-global rate. The posterior log-odds are the document's own plus its path's shift against the global rate. All
-group sums are grouped aggregations over every document.
+evidence. Documents are grouped by host and path (any two columns: ``source`` and ``lang`` of ``documents``, which has no
+addresses; ``with_site`` takes them from a URL); the expected number of good documents in each group updates Beta priors - a
+path's prior is its host's posterior, a host's the global mean, with strengths from the spread between groups
+(method of moments) - so sparse sites shrink towards the global rate. A document's own evidence is left out of its
+path's, host's and the global rate before it is added to them: the posterior log-odds are its own plus its path's
+shift against the global rate. All group sums are grouped aggregations over every document.
 
 The regression is fitted on at most about ``FIT_BOUND`` labelled documents (chosen by a hash of ``doc_id``).
 
 Defined results: null and empty texts have ``p_doc`` null, add nothing to their groups and take the path's
-posterior; a null ``source`` or ``lang`` is a group of its own; repeated rows count each; with labels of one
+posterior; a null host or path is a group of its own; repeated rows count each; with labels of one
 kind or none every ``p_doc`` is the labels' rate (1/2 with none); other columns are ignored.
 """
 
@@ -18,10 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import bound_sample
+from ._spark import bound_sample, cut
 from ._text import pieces, strings
 from .quality_rules import gram_cells
 
@@ -35,8 +37,6 @@ def features(col, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
     """(n x (cells + 4) features, n-grams of each text)."""
     col = strings(col)
     out, n = np.zeros((len(col), cells + 4), np.float32), np.zeros(len(col), np.int64)
-    import pyarrow.compute as pc
-
     low = pc.utf8_lower(col)
     for at, piece in pieces(low):
         doc, cell = gram_cells(piece, cells)
@@ -82,8 +82,15 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = FIT_BOUND, cells: int =
     return w
 
 
-def document_evidence(docs: DataFrame, weights: np.ndarray, cells: int = CELLS) -> DataFrame:
-    """(doc_id, source, lang, p_doc) of every row."""
+def with_site(pages: DataFrame, url: str = "url") -> DataFrame:
+    """``pages`` with ``host`` (lower case, no port) and ``path`` (the first segment) of a URL; both null where it has no host."""
+    host = F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
+    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+/([^/?#]*)", 1)
+    return pages.withColumns({"host": host, "path": F.when(host.isNotNull(), path)})
+
+
+def document_evidence(docs: DataFrame, weights: np.ndarray, cells: int = CELLS, host: str = "source", path: str = "lang") -> DataFrame:
+    """(doc_id, host, path, p_doc) of every row."""
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     def score(batches):
@@ -94,47 +101,62 @@ def document_evidence(docs: DataFrame, weights: np.ndarray, cells: int = CELLS)
                 x, n = features(b.column(3).slice(at, 512), cells)
                 z = x @ w[:-1] + w[-1]
                 p[at : at + len(n)] = np.where(n > 0, np.clip(1 / (1 + np.exp(-np.clip(z, -30, 30))), 1e-6, 1 - 1e-6), np.nan)
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.round(p, 9), mask=np.isnan(p))], ["doc_id", "source", "lang", "p_doc"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.round(p, 9), mask=np.isnan(p))], ["doc_id", "host", "path", "p_doc"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, "doc_id long, source string, lang string, p_doc double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(score, "doc_id long, host string, path string, p_doc double")
 
 
-def posteriors(evidence: DataFrame) -> DataFrame:
-    """(source, lang, p_global, p_host, p_path) of every path."""
-    path = evidence.groupBy("source", "lang").agg(F.count("p_doc").alias("n"), F.coalesce(F.sum("p_doc"), F.lit(0.0)).alias("s"))
-    host = path.groupBy("source").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
-    total = path.agg(F.coalesce(F.sum("s") / F.nullif(F.sum("n"), F.lit(0)), F.lit(0.5)).alias("p_global"))
+def site_sums(evidence: DataFrame) -> DataFrame:
+    """(host, path, n, s, k, host_n, host_s, host_k, all_n, all_s) of every path: documents, expected good ones and prior strengths."""
+    path = evidence.groupBy("host", "path").agg(F.count("p_doc").alias("n"), F.coalesce(F.sum("p_doc"), F.lit(0.0)).alias("s"))
+    hosts = path.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("s").alias("host_s"))
+    total = hosts.agg(F.coalesce(F.sum("host_n"), F.lit(0)).alias("all_n"), F.coalesce(F.sum("host_s"), F.lit(0.0)).alias("all_s"))
 
-    def strength(groups: DataFrame, n: str, s: str, mean: str) -> DataFrame:
+    def strength(groups: DataFrame, n: str, s: str, m, name: str) -> DataFrame:
         """m(1-m) over the spread of the groups' rates around their prior mean beyond what their sizes explain, less one."""
-        m = F.col(mean)
-        rate = F.col(s) / F.col(n)
-        spread = F.avg(F.pow(rate - m, 2) - m * (1 - m) / F.col(n))
+        spread = F.avg(F.pow(F.col(s) / F.col(n) - m, 2) - m * (1 - m) / F.col(n))
         k = F.avg(m * (1 - m)) / F.greatest(spread, F.lit(1e-9)) - 1
-        return groups.where(F.col(n) > 0).agg(F.least(F.lit(STRENGTH[1]), F.greatest(F.lit(STRENGTH[0]), F.coalesce(k, F.lit(STRENGTH[1])))).alias("k"))
+        return groups.where(F.col(n) > 0).agg(F.least(F.lit(STRENGTH[1]), F.greatest(F.lit(STRENGTH[0]), F.coalesce(k, F.lit(STRENGTH[1])))).alias(name))
+
+    # The right sides of these cross joins have one row.
+    hosts = hosts.crossJoin(F.broadcast(total))
+    hosts = hosts.crossJoin(F.broadcast(strength(hosts, "host_n", "host_s", rate("all_n", "all_s"), "host_k")))
+    paths = path.join(hosts.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).drop("h")
+    return paths.crossJoin(F.broadcast(strength(paths, "n", "s", shrunk("host_n", "host_s", "host_k", rate("all_n", "all_s")), "k")))
+
+
+def rate(n: str, s: str, own_n=0, own=0.0):
+    """Mean over ``n`` documents without a document's own part; 1/2 over none."""
+    return F.coalesce((F.col(s) - own) / F.nullif(F.col(n) - own_n, F.lit(0)), F.lit(0.5))
+
+
+def shrunk(n: str, s: str, k: str, prior, own_n=0, own=0.0):
+    return (F.col(k) * prior + F.col(s) - own) / (F.col(k) + F.col(n) - own_n)
 
-    # Both sides of these cross joins but the first have one row.
-    hosts = host.crossJoin(F.broadcast(total))
-    hosts = hosts.crossJoin(F.broadcast(strength(hosts, "hn", "hs", "p_global"))).select("source", "p_global", ((F.col("k") * F.col("p_global") + F.col("hs")) / (F.col("k") + F.col("hn"))).alias("p_host"))
-    paths = path.alias("p").join(hosts.withColumnRenamed("source", "h"), F.col("source").eqNullSafe(F.col("h"))).drop("h")
-    return paths.crossJoin(F.broadcast(strength(paths, "n", "s", "p_host"))).select("source", "lang", "p_global", "p_host", ((F.col("k") * F.col("p_host") + F.col("s")) / (F.col("k") + F.col("n"))).alias("p_path"))
 
+def classify(docs: DataFrame, labels: DataFrame, bound: int = FIT_BOUND, host: str = "source", path: str = "lang") -> DataFrame:
+    """(doc_id, p_doc, p_host, p_path, p_quality, keep) of every row; ``p_host`` and ``p_path`` are without the row's own evidence."""
+    return combined(cut(document_evidence(docs, fit(docs, labels, bound), host=host, path=path)))
 
-def classify(docs: DataFrame, labels: DataFrame, bound: int = FIT_BOUND) -> DataFrame:
-    """(doc_id, p_doc, p_host, p_path, p_quality, keep) of every row."""
-    from ._spark import cut
 
-    evidence = cut(document_evidence(docs, fit(docs, labels, bound)))
-    post = posteriors(evidence).select(F.col("source").alias("ps"), F.col("lang").alias("pl"), "p_global", "p_host", "p_path")
+def combined(evidence: DataFrame) -> DataFrame:
+    """The same from (doc_id, host, path, p_doc). A hot path is one row on the right: the join splits its rows or broadcasts the sums while they are few."""
+    sums = site_sums(evidence).withColumnsRenamed({"host": "h", "path": "p"})
+    joined = evidence.join(sums, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    own_n, own = F.when(F.col("p_doc").isNull(), 0).otherwise(1), F.coalesce("p_doc", F.lit(0.0))
+    # Sums less a part of them may end below 0 by rounding.
+    bound = lambda c: F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), c))
+    prior = bound(rate("all_n", "all_s", own_n, own))
+    at_host = bound(shrunk("host_n", "host_s", "host_k", prior, own_n, own))
+    at_path = bound(shrunk("n", "s", "k", at_host, own_n, own))
 
     def logit(c):
         return F.log(c / (1 - c))
 
-    joined = evidence.join(post, F.col("source").eqNullSafe(F.col("ps")) & F.col("lang").eqNullSafe(F.col("pl")))
-    own = F.when(F.col("p_doc").isNull(), F.lit(0.0)).otherwise(logit(F.col("p_doc")) - logit(F.col("p_global")))
-    q = 1 / (1 + F.exp(-(own + logit(F.col("p_path")))))
-    out = joined.withColumn("p_quality", F.round(q, 9))
+    out = joined.select("doc_id", "p_doc", prior.alias("p_all"), at_host.alias("p_host"), at_path.alias("p_path"))
+    z = F.when(F.col("p_doc").isNull(), F.lit(0.0)).otherwise(logit(F.col("p_doc")) - logit(F.col("p_all"))) + logit(F.col("p_path"))
+    out = out.withColumn("p_quality", F.round(1 / (1 + F.exp(-z)), 9))
     return out.select("doc_id", "p_doc", F.round("p_host", 9).alias("p_host"), F.round("p_path", 9).alias("p_path"), "p_quality", (F.col("p_quality") >= 0.5).alias("keep"))
 
 
