@@ -2,34 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.staging import fresh, staged
 
 
-def assign_ranks(df: DataFrame, rank: str, key: str, name: str = "doc") -> DataFrame:
-    """Dense ids by descending ``rank``, then ascending ``key``.
+def assign_ranks(df: DataFrame, rank: str | None, key: str, name: str = "doc") -> DataFrame:
+    """Dense ids by descending ``rank`` (nulls last; none: by ``key`` alone), then ascending ``key``.
 
-    Rows are numbered inside each rank value; only one row for each distinct value passes through a single partition.
+    A range sort numbers the rows of each partition; the partitions' sizes (a row for each) give what precedes
+    it. Neither a frequent rank nor a unique one gathers in one task. The sorted rows are staged, so that sizes and
+    numbers come from the same sort.
     """
-    before = Window.orderBy(F.desc_nulls_last("__r")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = df.groupBy(F.col(rank).alias("__r")).agg(F.count("*").alias("__n")).select("__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy(rank).orderBy(key)
-    numbered = df.withColumn("__i", F.row_number().over(inside) - 1)
-    return numbered.join(starts, F.col(rank).eqNullSafe(F.col("__r"))).withColumn(name, (F.col("__base") + F.col("__i")).cast("long")).drop("__r", "__base", "__i")
-
-
-def gram_postings(docs: DataFrame, n: int = 3, only: list[str] | None = None) -> DataFrame:
+    (at,) = fresh(df, "__at")
+    order = ([F.desc_nulls_last(rank)] if rank else []) + [F.asc(key)]
+    rows = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id()))
+    part = F.shiftright(at, 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base, p, b = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), *fresh(df, "__part", "__base")
+    joined = rows.join(F.broadcast(base.toDF(p, b)), part == F.col(p))  # one row for each partition
+    return joined.withColumn(name, F.col(b) + F.col(at).bitwiseAND((1 << 33) - 1)).drop(p, b, at)
+
+
+def gram_postings(docs: DataFrame, n: int = 3, only: list[str] | None = None, case_sensitive: bool = False) -> DataFrame:
     """Distinct (gram, doc). Grams are distinct inside a document already, so nothing is shuffled."""
-    rows = docs.select("doc", F.explode(X.ngrams(F.col("text"), n)).alias("gram"))
+    rows = docs.select("doc", F.explode(X.ngrams(F.col("text"), n, case_sensitive)).alias("gram"))
     return (rows.where(F.col("gram").isin(only)) if only is not None else rows).select("gram", "doc")
 
 
-def term_postings(docs: DataFrame, only: list[str] | None = None, stop: tuple[str, ...] = ()) -> DataFrame:
-    """(term, doc, tf)."""
+def term_postings(docs: DataFrame, only: list[str] | None = None, stop: tuple[str, ...] = (), stem=None) -> DataFrame:
+    """(term, doc, tf); ``stem`` maps a term's column after the stop words have gone."""
     tokens = X.words(F.col("text"))
     rows = docs.select("doc", F.explode(X.without_stop_words(tokens, stop) if stop else tokens).alias("term"))
+    if stem is not None:
+        rows = rows.withColumn("term", stem(F.col("term")))
     if only is not None:
         rows = rows.where(F.col("term").isin(only))
     return rows.groupBy("term", "doc").agg(F.count("*").alias("tf"))
@@ -39,8 +48,13 @@ def dictionary(postings: DataFrame, key: str) -> DataFrame:
     return postings.groupBy(key).agg(F.count("*").alias("df"))
 
 
+def length_of(text) -> Column:
+    return F.size(X.words(text)).cast("long")
+
+
 def doc_lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("doc", F.size(X.words(F.col("text"))).cast("long").alias("dl"))
+    """(doc, dl): a stored length where there is one."""
+    return docs.select("doc", "dl") if "dl" in docs.columns else docs.select("doc", length_of(F.col("text")).alias("dl"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -49,8 +63,11 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
 
 
 def impacts(docs: DataFrame, only: list[str] | None = None, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(term, doc, tf, impact)."""
-    scored = term_postings(docs, only).join(doc_lengths(docs), "doc").crossJoin(F.broadcast(corpus_stats(docs)))
+    """(term, doc, tf, impact). A document's terms are counted where it lies, with its length; the statistics are one row."""
+    rows = docs.select("doc", F.explode(X.words(F.col("text"))).alias("term"), (F.col("dl") if "dl" in docs.columns else length_of(F.col("text"))).alias("dl"))
+    if only is not None:
+        rows = rows.where(F.col("term").isin(only))
+    scored = rows.groupBy("term", "doc").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")).crossJoin(F.broadcast(corpus_stats(docs)))
     return scored.select("term", "doc", "tf", X.quantize_impact(F.col("tf"), F.col("dl"), F.col("avgdl"), k1, b).alias("impact"))
 
 

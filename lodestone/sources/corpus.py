@@ -1,8 +1,8 @@
-"""Reading corpora and persisting index relations as Parquet that later queries prune."""
+"""Reading corpora: works as JSON lines, documents with rank ids, embeddings, identifiers, facet columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,19 +41,13 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
 
 
-def facet_rows(docs: DataFrame) -> DataFrame:
+def facet_columns() -> dict[str, Column]:
     band = F.when(F.col("n_chars") < 1000, "short").when(F.col("n_chars") < 5000, "medium").otherwise("long")
-    return FA.tall(docs, {"lang": F.col("lang"), "source": F.col("source"), "len_band": band})
+    return {"lang": F.col("lang"), "source": F.col("source"), "len_band": band}
 
 
-def write_index(docs: DataFrame, path: str, n: int = 3) -> None:
-    """Postings sorted by key, so that row groups prune on the keys of a query."""
-    for name, rows, key in (("grams", P.gram_postings(docs, n), "gram"), ("terms", P.term_postings(docs), "term")):
-        rows.repartitionByRange(key).sortWithinPartitions(key, "doc").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
-        docs.sparkSession.read.parquet(f"{path}/{name}").groupBy(key).agg(F.count("*").alias("df")).sort(key).write.mode("overwrite").parquet(f"{path}/{name}_dict")
-    facet_rows(docs).sort("field", "category", "doc").write.mode("overwrite").parquet(f"{path}/facets")
-    docs.select("doc", F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc", "text")])).alias("payload")).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/records")
-    docs.select("doc", "n_chars", "doc_id").sort("doc").write.mode("overwrite").parquet(f"{path}/columns")
+def facet_rows(docs: DataFrame) -> DataFrame:
+    return FA.tall(docs, facet_columns())
 
 
 def lookup(ids: DataFrame, key: str) -> DataFrame:
@@ -66,9 +60,3 @@ def table(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFra
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
-
-
-def describe(spark: SparkSession, path: str, names: tuple[str, ...] = ("grams", "terms", "facets", "records", "columns")) -> DataFrame:
-    """One row for each stored relation: rows and columns."""
-    found = [(n, (df := spark.read.parquet(f"{path}/{n}")).count(), df.columns) for n in names]
-    return spark.createDataFrame(found, "name string, n_rows long, fields array<string>")
