@@ -1,115 +1,144 @@
 """Incremental datasets: add, delete, flush, compact, resume, over Parquet with a versioned manifest.
 
-A flush writes the new split, then one manifest file; a reader takes the highest manifest, so a failed flush leaves nothing visible.
+A flush writes the new split's documents and tombstones as Parquet, then one manifest file; a reader takes the highest
+manifest, so a failed flush leaves nothing visible. A manifest's version is claimed by creating a file that mustn't
+exist, and follows from the version the writer has read: a second writer fails instead of losing splits. The manifest keeps
+the last micro-batch of each stream, so one that is replayed adds nothing twice.
 """
 
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMA = "doc long, text string"
+from ..operators.postings import assign_ranks
+from ..operators.splits import alive
+from ..sources.staging import filesystem
+
+SCHEMA, DEAD = "doc long, text string", "doc long"
+
+
+class ConcurrentWriter(RuntimeError):
+    """Another writer has published since this one read the manifest."""
 
 
 class SplitWriter:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, flush_bytes: int | None = None):
+        """``flush_bytes``: pending text from which ``add`` flushes by itself."""
+        self.spark, self.path, self.flush_bytes = spark, path.rstrip("/"), flush_bytes
         self.adds: list[DataFrame] = []
-        self.deletes: list[int] = []
-        splits = self.splits()
-        self.next_doc = max([s["hi"] + 1 for s in splits if s["n"]] or [0])
-        self.epoch = max([s["epoch"] for s in splits] or [0]) + 1
+        self.deletes: list[DataFrame] = []
+        self.pending_docs = self.pending_bytes = 0
+        self._read()
 
-    def _fs(self):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _version(self) -> int:
-        fs, p = self._fs()
-        return max([int(f.getPath().getName()) for f in fs.listStatus(p)] or [0]) if fs.exists(p) else 0
+    def _read(self) -> None:
+        fs, p = filesystem(self.spark, f"{self.path}/manifest")
+        self.version = max([int(f.getPath().getName()) for f in fs.listStatus(p)] or [0]) if fs.exists(p) else 0
+        self.state = json.loads(self.spark.read.text(f"{self.path}/manifest/{self.version}", wholetext=True).first().value) if self.version else {"splits": [], "batches": {}}
+        self.next_doc = max([s["hi"] + 1 for s in self.splits() if s["n"]] or [0])
+        self.epoch = max([s["epoch"] for s in self.splits()] or [0]) + 1
 
     def splits(self) -> list[dict]:
-        v = self._version()
-        return json.loads(self.spark.read.text(f"{self.path}/manifest/{v}", wholetext=True).first().value) if v else []
-
-    def _publish(self, splits: list[dict]) -> None:
-        fs, p = self._fs()
-        v = self._version() + 1
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path
-        out = fs.create(jpath(f"{self.path}/manifest-{v}.tmp"), True)
-        out.write(bytearray(json.dumps(splits).encode()))
+        return self.state["splits"]
+
+    def _publish(self, splits: list[dict], batch: tuple[str, int] | None = None) -> None:
+        v = self.version + 1
+        state = {"splits": splits, "batches": self.state["batches"] | ({batch[0]: batch[1]} if batch else {})}
+        fs, target = filesystem(self.spark, f"{self.path}/manifest/{v}")
+        claim = filesystem(self.spark, f"{self.path}/claims/{v}")[1]
+        if fs.exists(target):
+            raise ConcurrentWriter(f"version {v} is there already")
+        try:
+            fs.create(claim, False).close()
+        except Exception as e:
+            raise ConcurrentWriter(f"version {v} is claimed; if its writer is gone, remove {self.path}/claims/{v}") from e
+        temp = filesystem(self.spark, f"{self.path}/manifest-{v}.tmp")[1]
+        out = fs.create(temp, True)
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        fs.mkdirs(p)
-        if not fs.rename(jpath(f"{self.path}/manifest-{v}.tmp"), jpath(f"{self.path}/manifest/{v}")):
-            raise RuntimeError("another writer published this version")
+        fs.mkdirs(target.getParent())
+        if not fs.rename(temp, target):
+            raise ConcurrentWriter(f"version {v} can't be published")
+        self.version, self.state = v, state
 
     def add(self, rows: DataFrame, order: str) -> None:
         """Documents (text, ...) get the next ids in ``order``; texts without words use an id as well."""
-        from ..operators.postings import assign_ranks
-
-        rows = assign_ranks(rows.withColumn("__asc", F.lit(0)), "__asc", order).select((F.col("doc") + self.next_doc).alias("doc"), "text")
-        self.next_doc += rows.count()
+        rows = assign_ranks(rows, None, order).select((F.col("doc") + self.next_doc).alias("doc"), "text")
+        n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        self.next_doc, self.pending_docs, self.pending_bytes = self.next_doc + n, self.pending_docs + n, self.pending_bytes + size
         self.adds.append(rows)
-
-    def delete(self, doc: int) -> None:
-        self.deletes.append(doc)
-
-    def flush(self) -> dict | None:
+        if self.flush_bytes is not None and self.pending_bytes >= self.flush_bytes:
+            self.flush()
+
+    def delete(self, docs: int | DataFrame) -> None:
+        """A document, or all of a column ``doc``."""
+        self.deletes.append(docs.select(F.col("doc").cast("long").alias("doc")) if isinstance(docs, DataFrame) else self.spark.createDataFrame([(docs,)], DEAD))
+
+    def _write(self, docs: DataFrame, dead: DataFrame, epoch: int) -> dict:
+        """A new split under a name of its own, not published yet."""
+        name = f"split-{epoch}-{uuid.uuid4().hex[:8]}"
+        docs.write.parquet(f"{self.path}/{name}/docs")
+        dead.where("doc is not null").distinct().write.parquet(f"{self.path}/{name}/tombstones")
+        r = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}/docs").agg(F.min("doc"), F.max("doc"), F.count("*")).first()
+        n = self.spark.read.schema(DEAD).parquet(f"{self.path}/{name}/tombstones").count()
+        return {"name": name, "lo": r[0] or 0, "hi": r[1] or 0, "n": r[2], "epoch": epoch, "delta": True, "dead": n}
+
+    def flush(self, batch: tuple[str, int] | None = None) -> dict | None:
         """Writes what is pending as one delta split; None if nothing is. Only deletes make a split without documents."""
         if not self.adds and not self.deletes:
+            if batch:
+                self._publish(self.splits(), batch)
             return None
-        name = f"split-{self.epoch}"
-        data = self.spark.createDataFrame([], SCHEMA)
+        data, dead = self.spark.createDataFrame([], SCHEMA), self.spark.createDataFrame([], DEAD)
         for a in self.adds:
             data = data.unionByName(a)
-        data.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        r = self.spark.read.parquet(f"{self.path}/{name}").agg(F.min("doc"), F.max("doc"), F.count("*")).first()
-        split = {"name": name, "lo": r[0] or 0, "hi": r[1] or 0, "n": r[2], "epoch": self.epoch, "delta": True, "tombstones": sorted(set(self.deletes))}
-        self._publish([*self.splits(), split])
+        for d in self.deletes:
+            dead = dead.union(d)
+        split = self._write(data, dead, self.epoch)
+        self._publish([*self.splits(), split], batch)
         self.adds, self.deletes, self.epoch = [], [], self.epoch + 1
+        self.pending_docs = self.pending_bytes = 0
         return split
 
+    def _union(self, splits: list[dict], part: str, schema: str) -> DataFrame:
+        names = [f"{self.path}/{s['name']}/{part}" for s in splits if s["n" if part == "docs" else "dead"]]
+        return self.spark.read.schema(schema).parquet(*names) if names else self.spark.createDataFrame([], schema)
+
     def tombstones(self) -> DataFrame:
-        return self.spark.createDataFrame([(d,) for s in self.splits() for d in s["tombstones"]], "doc long")
+        return self._union(self.splits(), "tombstones", DEAD)
 
     def read(self) -> DataFrame:
         """The documents that no tombstone hides."""
-        from ..operators.splits import alive
-
-        names = [f"{self.path}/{s['name']}" for s in self.splits() if s["n"]]
-        data = self.spark.read.schema(SCHEMA).parquet(*names) if names else self.spark.createDataFrame([], SCHEMA)
-        return alive(data, self.tombstones())
+        return alive(self._union(self.splits(), "docs", SCHEMA), self.tombstones())
 
     def compact(self, names: list[str]) -> dict:
         """Rewrites delta splits as one: ids stay, hidden documents go, tombstones are carried on."""
-        splits = self.splits()
-        mine = [s for s in splits if s["name"] in names]
-        if len(mine) != len(set(names)) or not all(s["delta"] for s in mine):
+        mine = [s for s in self.splits() if s["name"] in names]
+        if not mine or len(mine) != len(set(names)) or not all(s["delta"] for s in mine):
             raise ValueError("only existing delta splits can be compacted")
-        dead = sorted({d for s in mine for d in s["tombstones"]})
-        name = f"split-{self.epoch}-compact"
-        parts = [f"{self.path}/{s['name']}" for s in mine if s["n"]]
-        data = self.spark.read.schema(SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], SCHEMA)
-        data.join(self.spark.createDataFrame([(d,) for d in dead], "doc long"), "doc", "left_anti").write.mode("overwrite").parquet(f"{self.path}/{name}")
-        r = self.spark.read.parquet(f"{self.path}/{name}").agg(F.min("doc"), F.max("doc"), F.count("*")).first()
-        split = {"name": name, "lo": r[0] or 0, "hi": r[1] or 0, "n": r[2], "epoch": max(s["epoch"] for s in mine), "delta": True, "tombstones": dead}
-        self._publish([s for s in splits if s["name"] not in names] + [split])
-        self.epoch += 1
+        dead = self._union(mine, "tombstones", DEAD)
+        split = self._write(alive(self._union(mine, "docs", SCHEMA), dead), dead, max(s["epoch"] for s in mine))
+        self._publish([s for s in self.splits() if s["name"] not in names] + [split])
         return split
 
 
-def stream_into(stream: DataFrame, path: str, order: str, checkpoint: str):
-    """Each micro-batch becomes one flush; rows with ``op = 'delete'`` carry the document's id in ``doc``."""
+def ingest_batch(rows: DataFrame, batch: int, path: str, order: str, source: str = "stream") -> bool:
+    """One micro-batch as one flush; False where the manifest has this batch already."""
+    w = SplitWriter(rows.sparkSession, path)
+    if w.state["batches"].get(source, -1) >= batch:
+        return False
+    new, gone = rows.where("op = 'add'"), rows.where("op = 'delete'")
+    if not new.isEmpty():
+        w.add(new.select(order, "text"), order)
+    if not gone.isEmpty():
+        w.delete(gone)
+    w.flush((source, batch))
+    return True
 
-    def batch(rows: DataFrame, _: int) -> None:
-        w = SplitWriter(rows.sparkSession, path)
-        new = rows.where("op = 'add'")
-        if not new.isEmpty():
-            w.add(new.select(order, "text"), order)
-        for r in rows.where("op = 'delete'").select("doc").collect():
-            w.delete(r.doc)
-        w.flush()
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stream_into(stream: DataFrame, path: str, order: str, checkpoint: str, source: str = "stream"):
+    """Each micro-batch becomes one flush; rows with ``op = 'delete'`` carry the document's id in ``doc``. Replayed batches are skipped."""
+    return stream.writeStream.foreachBatch(lambda rows, batch: ingest_batch(rows, batch, path, order, source) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
