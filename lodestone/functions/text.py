@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 ENGLISH = tuple("a an and are as at be but by for from had has have he in is it its of on or that the this to was were which will with".split())
 
 
-def gram_words(text: Column) -> Column:
-    """White-space words with everything but letters and decimal digits removed, in lower case."""
-    return F.transform(F.split(text, r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{Nd}]", "")))
+def gram_words(text: Column, case_sensitive: bool = False) -> Column:
+    """White-space words with everything but letters and decimal digits removed, in lower case unless told otherwise."""
+    plain = F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{Nd}]", ""))
+    return plain if case_sensitive else F.transform(plain, F.lower)
 
 
-def ngrams(text: Column, n: int = 3) -> Column:
+def ngrams(text: Column, n: int = 3, case_sensitive: bool = False) -> Column:
     """The distinct n-character windows of each word; shorter words have none."""
-    long = F.filter(gram_words(text), lambda w: F.length(w) >= n)
+    long = F.filter(gram_words(text, case_sensitive), lambda w: F.length(w) >= n)
     return F.array_distinct(F.flatten(F.transform(long, lambda w: F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.substring(w, i, F.lit(n))))))
 
 
@@ -87,3 +88,23 @@ def l2_normalize(v: Column) -> Column:
     """Unit length; a zero vector stays."""
     norm = F.sqrt(dot(v, v))
     return F.when(norm > 0, F.transform(v, lambda x: x / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+
+
+def facet_key(field: Column, category: Column, case_sensitive: bool = False) -> Column:
+    """A 64-bit name of a category for presence tests: FNV-1a over field, unit separator and category."""
+    f, c = (field, category) if case_sensitive else (F.lower(field), F.lower(category))
+    return fnv1a(F.concat(f, F.lit("\x1f"), c).cast("binary"))
+
+
+#: Languages by number from 1, with their ISO 639-1 codes.
+LANGUAGES = {"english": "en", "spanish": "es", "arabic": "ar", "danish": "da", "dutch": "nl", "finnish": "fi", "french": "fr", "german": "de", "greek": "el", "hungarian": "hu", "italian": "it", "norwegian": "no", "portuguese": "pt", "romanian": "ro", "russian": "ru", "swedish": "sv", "tamil": "ta", "turkish": "tr"}
+
+
+def language(code: str) -> tuple[int, str]:
+    """(number, name) of a language's name or ISO 639-1 code in any case."""
+    c = code.strip().lower()
+    for i, (name, iso) in enumerate(LANGUAGES.items(), 1):
+        if c in (name, iso):
+            return i, name
+    raise ValueError(f"unknown language {code!r}")
+
