@@ -47,14 +47,21 @@ def apply(hits: DataFrame, facets: DataFrame, include: list[tuple[str, str]] = (
     return hits
 
 
-def counts(hits: DataFrame, facets: DataFrame, head: int | None = None, zeros: bool = True) -> DataFrame:
-    """(field, category, cnt) over the hits, or over those with ``doc < head``."""
+def full_set(facets: DataFrame, include: list[tuple[str, str]], exclude: list[tuple[str, str]] = ()) -> DataFrame:
+    """The documents inside ``include`` and outside ``exclude``, without hits to start from; none where nothing is included."""
+    if not include:
+        return facets.select("doc").limit(0)
+    return apply(matching(facets, include), facets, exclude=exclude)
+
+
+def counts(hits: DataFrame, facets: DataFrame, head: int | None = None, zeros: bool = True, known: DataFrame | None = None) -> DataFrame:
+    """(field, category, cnt) over the hits, or over those with ``doc < head``; ``known``: a stored dictionary, whose categories are listed."""
     if head is not None:
         hits = hits.where(F.col("doc") < head)
     got = facets.join(hits.select("doc"), "doc", "left_semi").groupBy("field", "category").agg(F.count("*").alias("cnt"))
     if not zeros:
         return got
-    return dictionary(facets).drop("cnt").join(got, ["field", "category"], "left").select("field", "category", F.coalesce("cnt", F.lit(0).cast("long")).alias("cnt"))
+    return (dictionary(facets) if known is None else known).drop("cnt").join(got, ["field", "category"], "left").select("field", "category", F.coalesce("cnt", F.lit(0).cast("long")).alias("cnt"))
 
 
 def counts_top(hits: DataFrame, facets: DataFrame, n: int, head: int) -> DataFrame:

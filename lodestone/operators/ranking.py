@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
-def rerank(candidates: DataFrame, impacts: DataFrame, dictionary: DataFrame, stats: DataFrame, k: int, k1: float = 1.2) -> DataFrame:
-    """The best ``k`` candidates by summed ``idf * impact``; those without a term score 0."""
-    weights = dictionary.crossJoin(F.broadcast(stats)).select("term", X.idf(F.col("n"), F.col("df")).alias("w"))
-    part = impacts.join(F.broadcast(weights), "term").groupBy("doc").agg(F.sum(F.col("w") * F.col("impact") * (k1 + 1) / 255.0).alias("s"))
+def rerank(candidates: DataFrame, impacts: DataFrame, dictionary: DataFrame, stats: DataFrame, keys: list[str], k: int, k1: float = 1.2) -> DataFrame:
+    """The best ``k`` candidates by summed ``idf * impact`` of the query's ``keys``; those without a term score 0."""
+    few = dictionary.where(F.col("term").isin(keys))  # a row for each term of the query
+    weights = few.crossJoin(F.broadcast(stats)).select("term", X.idf(F.col("n"), F.col("df")).alias("w"))
+    near = impacts.where(F.col("term").isin(keys)).join(candidates.select("doc"), "doc", "left_semi")
+    part = near.join(F.broadcast(weights), "term").groupBy("doc").agg(F.sum(F.col("w") * F.col("impact") * (k1 + 1) / 255.0).alias("s"))
     return candidates.select("doc").join(part, "doc", "left").select("doc", F.coalesce("s", F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "doc").limit(k)
 
 
@@ -64,17 +66,35 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 25, seed: int = 42) -> np.ndarra
     return c
 
 
+#: At most about so many vectors train an index (chosen by a hash of their ids), whatever their number; all are encoded.
+TRAIN_BOUND = 20_000
+
+
 class Ivfpq:
-    """Inverted lists over product-quantised residuals. Trained on a bounded sample; every vector is encoded by Arrow batches."""
+    """Inverted lists over product-quantised residuals. Fitted on a bounded sample (``TRAIN_BOUND``) or given as parts; every vector is encoded by Arrow batches."""
 
     def __init__(self, centroids: np.ndarray, books: np.ndarray, metric: str = "ip"):
         """``centroids``: nlist x dim; ``books``: m x codes x dim/m."""
-        if centroids.shape[1] != books.shape[0] * books.shape[2]:
+        if centroids.ndim != 2 or books.ndim != 3 or centroids.shape[1] != books.shape[0] * books.shape[2]:
             raise ValueError("dimensions differ")
+        if metric not in ("ip", "l2"):
+            raise ValueError(f"unknown metric {metric!r}")
+        if not (np.isfinite(centroids).all() and np.isfinite(books).all()):
+            raise ValueError("parts must be finite")
         self.centroids, self.books, self.metric = centroids, books, metric
 
+    def take(self, codes: DataFrame) -> DataFrame:
+        """Codes (cluster, doc, code) made elsewhere, checked against the parts."""
+        bad = codes.where((F.col("cluster") < 0) | (F.col("cluster") >= len(self.centroids)) | (F.size("code") != len(self.books)) | F.exists("code", lambda c: (c < 0) | (c >= self.books.shape[1])))
+        if not bad.isEmpty():
+            raise ValueError("codes don't fit the parts")
+        return codes
+
+    def _unit(self, x: np.ndarray) -> np.ndarray:
+        return x / np.maximum(1e-12, np.linalg.norm(x, axis=1))[:, None] if self.metric == "ip" else x
+
     @classmethod
-    def train(cls, vectors: DataFrame, nlist: int = 16, m: int = 8, bits: int = 6, metric: str = "ip", sample: int = 20_000) -> Ivfpq:
+    def train(cls, vectors: DataFrame, nlist: int = 16, m: int = 8, bits: int = 6, metric: str = "ip", sample: int = TRAIN_BOUND) -> Ivfpq:
         n = vectors.count()
         rows = vectors.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / max(1, n)))).orderBy("doc").toPandas()
         x = np.stack(rows.v).astype(np.float64)
@@ -88,15 +108,13 @@ class Ivfpq:
 
     def encode(self, vectors: DataFrame) -> DataFrame:
         """(cluster, doc, code); write it partitioned by cluster."""
-        c, books, metric = self.centroids, self.books, self.metric
+        c, books, unit = self.centroids, self.books, self._unit
 
         def run(parts):
             for pdf in parts:
                 if not len(pdf):
                     continue
-                x = np.stack(pdf.v).astype(np.float64)
-                if metric == "ip":
-                    x = x / np.maximum(1e-12, np.linalg.norm(x, axis=1))[:, None]
+                x = unit(np.stack(pdf.v).astype(np.float64))
                 near = ((x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)).argmin(1)
                 rest = (x - c[near]).reshape(len(x), len(books), -1)
                 code = np.stack([((rest[:, s, None] - books[s]) ** 2).sum(2).argmin(1) for s in range(len(books))], axis=1)
@@ -109,8 +127,7 @@ class Ivfpq:
         q = np.asarray(query, np.float64)
         if len(q) != self.centroids.shape[1]:
             raise ValueError("dimensions differ")
-        if self.metric == "ip":
-            q = q / max(1e-12, np.linalg.norm(q))
+        q = self._unit(q[None])[0]
         lists = np.argsort(((self.centroids - q) ** 2).sum(1), kind="stable")[: max(1, nprobe)]
         tables = []
         for c in lists.tolist():
@@ -125,3 +142,74 @@ class Ivfpq:
     def search_rerank(self, codes: DataFrame, vectors: DataFrame, query: list[float], k: int, r: int = 100, nprobe: int = 8) -> DataFrame:
         found = self.search(codes, query, max(r, k), nprobe).select("doc")
         return exact_knn(vectors.join(F.broadcast(found), "doc", "left_semi"), query, k, self.metric)
+
+    def search_all(self, codes: DataFrame, queries: DataFrame, k: int, nprobe: int = 8, block: int = 4096) -> DataFrame:
+        """(q, doc, score): the best ``k`` of each of the ``queries`` (q, v), approximately.
+
+        Each query goes to the lists it probes and each list's codes to blocks of about ``block``, so a task scores one
+        block's codes for the queries of one list and passes on the best ``k`` of each.
+        """
+        c, books, unit, metric = self.centroids, self.books, self._unit, self.metric
+
+        # A row for each list, whatever the number of vectors.
+        blocks = {r.cluster: -(-r.n // block) for r in codes.groupBy("cluster").agg(F.count("*").alias("n")).collect()}
+
+        def probe(parts):
+            for pdf in parts:
+                if not len(pdf):
+                    continue
+                x = unit(np.stack(pdf.v).astype(np.float64))
+                near = np.argsort((c**2).sum(1) - 2 * x @ c.T, axis=1, kind="stable")[:, : max(1, nprobe)]
+                out = [(q, int(cell), b, v) for q, cells, v in zip(pdf.q, near, pdf.v) for cell in cells for b in range(blocks.get(int(cell), 0))]
+                yield pd.DataFrame(out, columns=["q", "cluster", "b", "v"])
+
+        sizes = codes.sparkSession.createDataFrame(list(blocks.items()) or [(0, 1)], "cluster int, blocks int")
+        spread = codes.join(F.broadcast(sizes), "cluster").withColumn("b", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+        asked = queries.select("q", "v").mapInPandas(probe, "q long, cluster int, b int, v array<double>")
+
+        def score(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            if len(qs) and len(cs):
+                cell = int(qs.cluster.iloc[0])
+                code, doc = np.stack(cs.code).astype(np.int64), cs.doc.to_numpy()
+                for q, v in zip(qs.q, unit(np.stack(qs.v).astype(np.float64))):
+                    rest = (v - c[cell]).reshape(len(books), -1)
+                    dist = sum(((books[s] - rest[s]) ** 2).sum(1)[code[:, s]] for s in range(len(books)))
+                    best = np.lexsort([doc, dist])[:k]
+                    out.append(pd.DataFrame({"q": q, "doc": doc[best], "dist": dist[best]}))
+            return pd.concat(out) if out else pd.DataFrame({"q": [], "doc": [], "dist": []})
+
+        found = asked.groupBy("cluster", "b").cogroup(spread.groupBy("cluster", "b")).applyInPandas(score, "q long, doc long, dist double")
+        best = found.withColumn("o", F.row_number().over(Window.partitionBy("q").orderBy("dist", "doc"))).where(F.col("o") <= k)
+        return best.select("q", "doc", (1 - F.col("dist") / 2 if metric == "ip" else -F.col("dist")).alias("score"))
+
+
+def exact_all(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip", block: int = 8192) -> DataFrame:
+    """(q, doc, score): the exact best ``k`` of every query (q, v), queries in blocks against all vectors.
+
+    The queries are a stated set; each block of vectors meets each block of queries in one task, which passes on the best
+    ``k`` of each query.
+    """
+    n = max(1, -(-queries.count() // block))
+    m = max(1, -(-vectors.count() // block))
+    a = queries.select("q", "v", F.pmod(F.xxhash64("q"), F.lit(n)).cast("int").alias("i")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    b = vectors.select("doc", "v", F.pmod(F.xxhash64("doc"), F.lit(m)).cast("int").alias("j")).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+
+    def best(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        if not len(qs) or not len(vs):
+            return pd.DataFrame({"q": [], "doc": [], "score": []})
+        x, y, doc = np.stack(qs.v).astype(np.float64), np.stack(vs.v).astype(np.float64), vs.doc.to_numpy()
+        s = x @ y.T if metric == "ip" else -((x**2).sum(1)[:, None] - 2 * x @ y.T + (y**2).sum(1))
+        top = [np.lexsort([doc, -r])[:k] for r in s]
+        return pd.DataFrame({"q": np.repeat(qs.q.to_numpy(), [len(t) for t in top]), "doc": np.concatenate([doc[t] for t in top]), "score": np.concatenate([r[t] for r, t in zip(s, top)])})
+
+    found = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(best, "q long, doc long, score double")
+    return found.withColumn("o", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc"))).where(F.col("o") <= k).drop("o")
+
+
+def rerank_all(found: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, metric: str = "ip") -> DataFrame:
+    """The best ``k`` of each query's candidates (q, doc) by their full vectors."""
+    both = found.select("q", "doc").join(vectors.select("doc", F.col("v").alias("dv")), "doc").join(queries.select("q", F.col("v").alias("qv")), "q")
+    score = X.dot(F.col("dv"), F.col("qv")) if metric == "ip" else -X.squared_distance(F.col("dv"), F.col("qv"))
+    got = both.select("q", "doc", score.alias("score"))
+    return got.withColumn("o", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "doc"))).where(F.col("o") <= k).drop("o")

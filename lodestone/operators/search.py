@@ -14,6 +14,41 @@ def k_of_n(postings: DataFrame, key: str, keys: list[str], missing: int = 0) ->
     return postings.where(F.col(key).isin(list(set(keys)))).groupBy("doc").agg(F.countDistinct(key).alias("n_match")).where(F.col("n_match") >= need)
 
 
+def min_match(postings: DataFrame, dictionary: DataFrame, key: str, keys: list[str], least: int) -> DataFrame:
+    """(doc, n_match) with at least ``least`` of the keys that exist, as far as there are so many; nothing where none exists."""
+    n = dictionary.where(F.col(key).isin(keys)).agg(F.count("*").alias("__n"))
+    need = F.greatest(F.lit(1), F.least(F.lit(least), F.col("__n")))
+    # One row on the right.
+    got = postings.where(F.col(key).isin(keys)).groupBy("doc").agg(F.countDistinct(key).alias("n_match"))
+    return got.crossJoin(F.broadcast(n)).where(F.col("n_match") >= need).select("doc", "n_match")
+
+
+def query_postings(postings: DataFrame, dictionary: DataFrame, key: str, keys: list[str], strict: bool = True) -> DataFrame:
+    """The postings of a query's keys; strict: none at all where one of them is absent, else those of the keys that exist."""
+    rows = postings.where(F.col(key).isin(keys))
+    if not strict:
+        return rows
+    whole = dictionary.where(F.col(key).isin(keys)).agg((F.count("*") == len(set(keys))).alias("__whole"))
+    return rows.crossJoin(F.broadcast(whole)).where("__whole").drop("__whole")
+
+
+class Cursor:
+    """Pages of a hit list in rank order. Each page starts after the last one's document, so none is read twice."""
+
+    def __init__(self, hits: DataFrame):
+        self.hits, self.last, self.loaded = hits.select("doc"), -1, 0
+
+    def next(self, n: int) -> list[int]:
+        """The next ``n`` documents at most, and always as many as there are."""
+        got = [r.doc for r in self.hits.where(F.col("doc") > self.last).orderBy("doc").limit(n).collect()]
+        self.last = got[-1] if got else self.last
+        self.loaded += len(got)
+        return got
+
+    def page(self, offset: int, limit: int) -> DataFrame:
+        return page(self.hits, limit, offset)
+
+
 def page(hits: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return hits.orderBy("doc").offset(offset).limit(limit)
 
@@ -44,6 +79,18 @@ def prefix_search(postings: DataFrame, prefix: str, cap: int = 2048) -> DataFram
     return rows.join(terms, "term", "left_semi").select("doc").distinct()
 
 
+def prefix_truncated(dictionary: DataFrame, prefix: str, cap: int = 2048) -> DataFrame:
+    """(n_terms, truncated): how many terms a prefix search takes, and whether the cap leaves some out."""
+    n = dictionary.where(F.col("term").startswith(prefix.lower())).agg(F.count("*").alias("n"))
+    return n.select(F.least("n", F.lit(cap)).cast("long").alias("n_terms"), (F.col("n") > cap).alias("truncated"))
+
+
+def containing(hits: DataFrame, docs: DataFrame, phrase: str) -> DataFrame:
+    """The hits whose text holds the phrase, whatever the case: n-gram hits are a superset of them."""
+    found = docs.where(F.contains(F.lower("text"), F.lit(phrase.lower()))).select("doc")
+    return hits.join(found, "doc", "left_semi")
+
+
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("doc").intersect(b.select("doc"))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -11,7 +12,9 @@ from ..operators import postings as P
 from ..operators import ranking as R
 from ..operators import search as S
 from ..operators import splits as SP
+from ..functions import stemming as ST
 from ..sources import corpus as C
+from ..sources import index as I
 
 GRAM_QUERY = ["thi", "hin", "ing", "the", "her", "ere"]  # "thing there"
 FUZZY_QUERY = [*GRAM_QUERY, "zqx"]
@@ -59,17 +62,38 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+def _index(spark: SparkSession, d: str) -> I.Index:
+    """The stored index of the folder, which all searches read; the first query of a session builds it."""
+    return I.of_documents(spark, d)
+
+
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return C.documents(spark, d)
+    return _index(spark, d).docs()
 
 
 def _hits(spark, d, keys=GRAM_QUERY, missing=0) -> DataFrame:
-    return S.k_of_n(P.gram_postings(_docs(spark, d), only=keys), "gram", keys, missing)
+    return S.k_of_n(_index(spark, d).grams(keys), "gram", keys, missing)
 
 
 @register("rank_assign", f"WITH {_DOCS} SELECT doc, doc_id FROM docs")
 def _(spark, d):
-    return _docs(spark, d).select("doc", "doc_id")
+    return C.documents(spark, d).select("doc", "doc_id")
+
+
+@register("index_grams", f"WITH {_GRAMS} SELECT gram, doc FROM grams")
+def _(spark, d):
+    return _index(spark, d).grams()
+
+
+@register("index_tables", f"WITH {_IMPACTS} SELECT 'docs' AS name, count(*) AS n_rows FROM docs UNION ALL SELECT 'terms', count(*) FROM terms UNION ALL SELECT 'term_dict', count(*) FROM dict UNION ALL SELECT 'records', count(*) FROM docs UNION ALL SELECT 'stats', 1")
+def _(spark, d):
+    names = ("docs", "terms", "term_dict", "records", "stats")
+    return _index(spark, d).describe().where(F.col("name").isin(*names)).select("name", "n_rows")
+
+
+@register("ngram_case_sensitive", f"WITH {_GRAMS.replace('lower(regexp_replace(w, ', '(regexp_replace(w, ')} SELECT gram, count(*) AS df FROM grams GROUP BY gram")
+def _(spark, d):
+    return P.dictionary(P.gram_postings(_docs(spark, d), case_sensitive=True), "gram")
 
 
 @register("ngram_postings", f"WITH {_GRAMS} SELECT gram, doc FROM grams")
@@ -104,9 +128,7 @@ def _(spark, d):
 
 @register("ngram_search_and", f"WITH {_GRAMS}, {_gram_hits(GRAM_QUERY, 6)} SELECT doc, doc_id, lang FROM hits JOIN docs USING (doc) ORDER BY doc LIMIT 25")
 def _(spark, d):
-    docs = _docs(spark, d)
-    hits = S.page(S.k_of_n(P.gram_postings(docs, only=GRAM_QUERY), "gram", GRAM_QUERY), 25)
-    return docs.select("doc", "doc_id", "lang").join(hits.select("doc"), "doc")
+    return _docs(spark, d).select("doc", "doc_id", "lang").join(S.page(_hits(spark, d), 25).select("doc"), "doc")
 
 
 @register("ngram_search_fuzzy", f"WITH {_GRAMS}, {_gram_hits(FUZZY_QUERY, 5)} SELECT doc, n_match FROM hits ORDER BY doc LIMIT 50")
@@ -116,44 +138,44 @@ def _(spark, d):
 
 @register("ngram_candidates", f"WITH {_GRAMS}, gd AS (SELECT gram, count(*) AS df FROM grams WHERE gram IN {_in(GRAM_QUERY)} GROUP BY gram), rare AS (SELECT gram FROM gd ORDER BY df, gram LIMIT 2) SELECT doc FROM grams JOIN rare USING (gram) GROUP BY doc HAVING count(*) = 2")
 def _(spark, d):
-    g = P.gram_postings(_docs(spark, d), only=GRAM_QUERY)
-    keys = S.rarest(P.dictionary(g, "gram"), "gram", GRAM_QUERY, 2)
-    return S.k_of_n(g, "gram", keys).select("doc")
+    ix = _index(spark, d)
+    keys = S.rarest(ix.dictionary("gram", GRAM_QUERY), "gram", GRAM_QUERY, 2)
+    return S.k_of_n(ix.grams(keys), "gram", keys).select("doc")
 
 
 @register("ngram_count_estimate", f"WITH {_GRAMS}, gd AS (SELECT gram, count(*) AS df FROM grams WHERE gram IN {_in(GRAM_QUERY)} GROUP BY gram) SELECT min(df) AS estimate, false AS exact, sum(df)::BIGINT AS cost FROM gd")
 def _(spark, d):
-    return S.estimate(P.dictionary(P.gram_postings(_docs(spark, d), only=GRAM_QUERY), "gram"), "gram", GRAM_QUERY)
+    return S.estimate(_index(spark, d).dictionary("gram", GRAM_QUERY), "gram", GRAM_QUERY)
 
 
 @register("ngram_absent_key", f"WITH {_DOCS} SELECT 0::BIGINT AS estimate, true AS exact, 0::BIGINT AS cost")
 def _(spark, d):
-    return S.estimate(P.dictionary(P.gram_postings(_docs(spark, d), only=FUZZY_QUERY), "gram"), "gram", FUZZY_QUERY)
+    return S.estimate(_index(spark, d).dictionary("gram", FUZZY_QUERY), "gram", FUZZY_QUERY)
 
 
 @register("posting_fetch", f"WITH {_GRAMS} SELECT doc FROM grams WHERE gram = 'ing'")
 def _(spark, d):
-    return P.gram_postings(_docs(spark, d), only=["ing"]).select("doc")
+    return _index(spark, d).grams(["ing"]).select("doc")
 
 
 @register("term_search_and", f"WITH {_TERMS}, {_term_hits(TERMS, 3)} SELECT doc FROM hits ORDER BY doc LIMIT 50")
 def _(spark, d):
-    return S.page(S.k_of_n(P.term_postings(_docs(spark, d), TERMS), "term", TERMS), 50).select("doc")
+    return S.page(S.k_of_n(_index(spark, d).terms(TERMS), "term", TERMS), 50).select("doc")
 
 
 @register("term_prefix_search", f"WITH {_TERMS}, t AS (SELECT term FROM dict WHERE starts_with(term, 'tha') ORDER BY term LIMIT 2048) SELECT DISTINCT doc FROM terms JOIN t USING (term) ORDER BY doc LIMIT 100")
 def _(spark, d):
-    return S.page(S.prefix_search(P.term_postings(_docs(spark, d)), "Tha"), 100)
+    return S.page(S.prefix_search(_index(spark, d).terms(), "Tha"), 100)
 
 
 @register("term_complete", f"WITH {_TERMS} SELECT term, df FROM dict WHERE starts_with(term, 'er') ORDER BY term LIMIT 20")
 def _(spark, d):
-    return S.complete(P.dictionary(P.term_postings(_docs(spark, d)), "term"), "er", 20)
+    return S.complete(_index(spark, d).dictionary("term"), "er", 20)
 
 
 @register("facet_dict", f"WITH {_DOCS}, {_FACETS} SELECT field, category, cnt FROM fdict")
 def _(spark, d):
-    return FA.dictionary(C.facet_rows(_docs(spark, d)))
+    return _index(spark, d).table("facet_dict")
 
 
 _MATCH = f"SELECT doc FROM facets WHERE {_pairs(INCLUDE)} GROUP BY doc HAVING count(DISTINCT field) = 2"
@@ -161,23 +183,30 @@ _MATCH = f"SELECT doc FROM facets WHERE {_pairs(INCLUDE)} GROUP BY doc HAVING co
 
 @register("facet_filter_include", f"WITH {_DOCS}, {_FACETS} {_MATCH}")
 def _(spark, d):
-    return FA.matching(C.facet_rows(_docs(spark, d)), INCLUDE)
+    return FA.matching(_index(spark, d).facets(), INCLUDE)
 
 
 @register("facet_empty_arm", f"WITH {_DOCS} SELECT doc FROM docs WHERE false")
 def _(spark, d):
-    return FA.matching(C.facet_rows(_docs(spark, d)), [*INCLUDE, ("source", "none")])
+    return FA.matching(_index(spark, d).facets(), [*INCLUDE, ("source", "none")])
 
 
 @register("facet_filter_exclude", f"WITH {_DOCS}, {_FACETS} SELECT doc FROM docs WHERE doc NOT IN (SELECT doc FROM facets WHERE {_pairs(EXCLUDE)})")
 def _(spark, d):
     docs = _docs(spark, d)
-    return FA.apply(docs.select("doc"), C.facet_rows(docs), exclude=EXCLUDE)
+    return FA.apply(docs.select("doc"), _index(spark, d).facets(), exclude=EXCLUDE)
+
+
+@register("facet_full_set", f"WITH {_DOCS}, {_FACETS} SELECT 'with' AS kind, doc FROM ({_MATCH}) WHERE doc NOT IN (SELECT doc FROM facets WHERE {_pairs(EXCLUDE)})")
+def _(spark, d):
+    facets = _index(spark, d).facets()
+    both = [FA.full_set(facets, inc, EXCLUDE).select(F.lit(k).alias("kind"), "doc") for k, inc in (("with", INCLUDE), ("without", []))]
+    return both[0].union(both[1])  # without includes the set is empty
 
 
 @register("facet_filter_membership", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)} SELECT doc FROM hits WHERE doc IN ({_MATCH}) AND doc NOT IN (SELECT doc FROM facets WHERE {_pairs(EXCLUDE)})")
 def _(spark, d):
-    return FA.apply(_hits(spark, d).select("doc"), C.facet_rows(_docs(spark, d)), INCLUDE, EXCLUDE)
+    return FA.apply(_hits(spark, d).select("doc"), _index(spark, d).facets(), INCLUDE, EXCLUDE)
 
 
 _COUNTS = "SELECT field, category, (SELECT count(*) FROM facets f JOIN hits h USING (doc) WHERE f.field = fdict.field AND f.category = fdict.category{}) AS cnt FROM fdict"
@@ -185,27 +214,27 @@ _COUNTS = "SELECT field, category, (SELECT count(*) FROM facets f JOIN hits h US
 
 @register("facet_counts_head", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)} {_COUNTS.format(f' AND h.doc < {HEAD}')}")
 def _(spark, d):
-    return FA.counts(_hits(spark, d), C.facet_rows(_docs(spark, d)), HEAD)
+    return FA.counts(_hits(spark, d), _index(spark, d).facets(), HEAD, known=_index(spark, d).table("facet_dict"))
 
 
 @register("facet_counts_full", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)} {_COUNTS.format('')}")
 def _(spark, d):
-    return FA.counts(_hits(spark, d), C.facet_rows(_docs(spark, d)))
+    return FA.counts(_hits(spark, d), _index(spark, d).facets(), known=_index(spark, d).table("facet_dict"))
 
 
 @register("facet_counts_topn", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)}, o AS (SELECT field, category, row_number() OVER (PARTITION BY field ORDER BY cnt DESC, category) <= 3 AS exact FROM fdict), c AS (SELECT field, category, count(*) AS whole, count(*) FILTER (doc < {HEAD}) AS part FROM facets JOIN hits USING (doc) GROUP BY ALL) SELECT field, category, exact, coalesce(CASE WHEN exact THEN whole ELSE part END, 0) AS cnt FROM o LEFT JOIN c USING (field, category)")
 def _(spark, d):
-    return FA.counts_top(_hits(spark, d), C.facet_rows(_docs(spark, d)), 3, HEAD)
+    return FA.counts_top(_hits(spark, d), _index(spark, d).facets(), 3, HEAD)
 
 
 @register("facet_counts_for", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)}, p(pos, field, category) AS (VALUES {', '.join(f'({i}, {f!r}, {c!r})' for i, (f, c) in enumerate(PAIRS))}) SELECT pos, field, category, (SELECT count(*) FROM facets f JOIN hits USING (doc) WHERE f.field = p.field AND f.category = p.category) AS cnt FROM p")
 def _(spark, d):
-    return FA.counts_for(_hits(spark, d), C.facet_rows(_docs(spark, d)), PAIRS)
+    return FA.counts_for(_hits(spark, d), _index(spark, d).facets(), PAIRS)
 
 
 @register("facet_count_bound", f"WITH {_DOCS}, {_FACETS} SELECT min(c)::BIGINT AS bound FROM (SELECT field, sum(cnt) AS c FROM fdict WHERE {_pairs(INCLUDE)} GROUP BY field)")
 def _(spark, d):
-    return FA.count_bound(FA.dictionary(C.facet_rows(_docs(spark, d))), INCLUDE)
+    return FA.count_bound(_index(spark, d).table("facet_dict"), INCLUDE)
 
 
 @register("record_gather", f"WITH {_DOCS} SELECT i.doc, doc_id, lang, n_chars FROM (VALUES (0), (5), (17), (10000000)) i(doc) LEFT JOIN docs USING (doc)")
@@ -214,10 +243,10 @@ def _(spark, d):
     return R.gather(ids, _docs(spark, d).select("doc", "doc_id", "lang", "n_chars"))
 
 
-@register("lookup_exact", "SELECT q.q, page_id AS doc FROM (SELECT DISTINCT url AS q FROM pages WHERE page_id % 10 = 3) q JOIN pages p ON upper(regexp_replace(p.url, '[^0-9A-Za-z]', '', 'g')) = upper(regexp_replace(q.q, '[^0-9A-Za-z]', '', 'g'))")
+@register("lookup_exact", "SELECT q.q, page_id AS doc FROM (SELECT DISTINCT url AS q FROM pages) q JOIN pages p ON upper(regexp_replace(p.url, '[^0-9A-Za-z]', '', 'g')) = upper(regexp_replace(q.q, '[^0-9A-Za-z]', '', 'g'))")
 def _(spark, d):
     pages = spark.read.parquet(f"{d}/pages.parquet")
-    asked = pages.where("page_id % 10 = 3").select(F.col("url").alias("q")).distinct()  # the identifiers looked up
+    asked = pages.select(F.col("url").alias("q")).distinct()  # every identifier is looked up
     return asked.join(C.lookup(pages.select("url", F.col("page_id").alias("doc")), "url"), X.normalize_id(F.col("q")) == F.col("norm_id")).select("q", "doc")
 
 
@@ -243,31 +272,68 @@ def _(spark, d):
 
 @register("bm25_impacts", f"WITH {_IMPACTS} SELECT term, doc, tf, impact FROM impacts")
 def _(spark, d):
-    return P.impacts(_docs(spark, d))
+    return _index(spark, d).terms()
 
 
-def _bm25(spark, d, cand, m, k):
-    docs = _docs(spark, d)
-    imp = P.impacts(docs, TERMS)
-    return R.rerank(cand.orderBy("doc").limit(m), imp, P.dictionary(imp, "term"), P.corpus_stats(docs), k).select("doc", F.round("score", 4).alias("score"))
+def _bm25(spark, d, cand, k, keys=TERMS):
+    ix = _index(spark, d)
+    return R.rerank(cand, ix.terms(keys), ix.dictionary("term", keys), ix.table("stats"), keys, k)
 
 
-_SCORE = ", part AS (SELECT doc, sum(w * impact * (1.2e0 + 1) / 255e0) AS s FROM impacts JOIN weights USING (term) WHERE term IN " + _in(TERMS) + " GROUP BY doc) SELECT doc, round(coalesce(s, 0), 4) AS score FROM cand LEFT JOIN part USING (doc) ORDER BY coalesce(s, 0) DESC, doc LIMIT {}"
+_PART = "part AS (SELECT doc, sum(w * impact * (1.2e0 + 1) / 255e0) AS s FROM impacts JOIN weights USING (term) WHERE term IN " + _in(TERMS) + " GROUP BY doc)"
+_SCORE = f", {_PART} SELECT doc, round(coalesce(s, 0), 4) AS score FROM cand LEFT JOIN part USING (doc) ORDER BY coalesce(s, 0) DESC, doc LIMIT {{}}"
+#: A query with a word that no document has.
+LENIENT = [*TERMS, "zqxvw"]
 
 
 @register("bm25_search", f"WITH {_IMPACTS}, {_term_hits(TERMS, 3)}, cand AS (SELECT doc FROM hits ORDER BY doc LIMIT 200){_SCORE.format(10)}")
 def _(spark, d):
-    return _bm25(spark, d, S.k_of_n(P.term_postings(_docs(spark, d), TERMS), "term", TERMS).select("doc"), 200, 10)
+    cand = S.page(S.k_of_n(_index(spark, d).terms(TERMS), "term", TERMS).select("doc"), 200)
+    return _bm25(spark, d, cand, 10).withColumn("score", F.round("score", 4))
+
+
+def _min_match(spark, d, least, keys=LENIENT):
+    ix = _index(spark, d)
+    return S.min_match(ix.terms(keys), ix.dictionary("term", keys), "term", keys, least)
 
 
 @register("bm25_min_match", f"WITH {_IMPACTS}, {_term_hits(TERMS, 2)}, cand AS (SELECT doc FROM hits ORDER BY doc LIMIT 300){_SCORE.format(20)}")
 def _(spark, d):
-    return _bm25(spark, d, S.k_of_n(P.term_postings(_docs(spark, d), TERMS), "term", TERMS, 1).select("doc"), 300, 20)
+    return _bm25(spark, d, S.page(_min_match(spark, d, 2).select("doc"), 300), 20, LENIENT).withColumn("score", F.round("score", 4))
+
+
+@register("term_min_match", f"WITH {_TERMS}, m AS (SELECT least(4, greatest(1, count(*))) AS need FROM dict WHERE term IN {_in(LENIENT)}) SELECT doc, count(*) AS n_match FROM terms WHERE term IN {_in(LENIENT)} GROUP BY doc HAVING count(*) >= (SELECT need FROM m)")
+def _(spark, d):
+    return _min_match(spark, d, 4)  # four of four words, one of them unknown: three suffice
 
 
-@register("bm25_rerank_ids", f"WITH {_IMPACTS}, cand AS (SELECT doc FROM docs WHERE doc < 40){_SCORE.format(40)}")
+@register("term_postings_lenient", f"WITH {_TERMS} SELECT term, doc, tf FROM terms WHERE term IN {_in(LENIENT)}")
 def _(spark, d):
-    return _bm25(spark, d, _docs(spark, d).where("doc < 40").select("doc"), 40, 40)
+    ix = _index(spark, d)
+    return S.query_postings(ix.terms(), ix.dictionary("term"), "term", LENIENT, strict=False).select("term", "doc", "tf")
+
+
+@register("term_prefix_truncated", f"WITH {_TERMS} SELECT least(count(*), 5) AS n_terms, count(*) > 5 AS truncated FROM dict WHERE starts_with(term, 'th')")
+def _(spark, d):
+    return S.prefix_truncated(_index(spark, d).dictionary("term"), "th", 5)
+
+
+@register("phrase_verify", f"WITH {_GRAMS}, {_gram_hits(['ing', 'the'], 2)} SELECT doc FROM hits JOIN docs USING (doc) WHERE contains(lower(text), 'ing the')")
+def _(spark, d):
+    return S.containing(_hits(spark, d, ["ing", "the"]).select("doc"), _docs(spark, d), "ing the")
+
+
+@register("bm25_rerank_ids", f"WITH {_IMPACTS}, cand AS (SELECT DISTINCT doc FROM terms WHERE term IN {_in(TERMS)}){_SCORE.format(40)}")
+def _(spark, d):
+    return _bm25(spark, d, S.k_of_n(_index(spark, d).terms(TERMS), "term", TERMS, 2).select("doc"), 40).withColumn("score", F.round("score", 4))
+
+
+@register("stemmed_search", f"WITH {_TERMS} SELECT doc FROM terms WHERE term IN {_in(ST.FAMILY)} GROUP BY doc")
+def _(spark, d):
+    """Documents with any inflection of one stem: the terms of the dictionary are stemmed, a row each, not the texts."""
+    ix = _index(spark, d)
+    forms = ix.dictionary("term").where(ST.stem(F.col("term"), "english") == ST.stem_word("anding", "english"))
+    return ix.terms().join(forms.select("term"), "term", "left_semi").select("doc").distinct()
 
 
 _Q = "q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7)"
@@ -288,18 +354,62 @@ def _(spark, d):
     return R.exact_knn(C.embeddings(spark, d), _query_vector(spark, d), 10, "l2").withColumn("score", F.round("score", 5))
 
 
+#: The stated query set: every vector whose id is divisible by 100.
+_ASKED = "vec_id % 100 = 0"
+NPROBE, DEPTH_RERANK, NLIST, SUBS = 14, 300, 16, 16
+
+
+def _asked(spark, d) -> DataFrame:
+    return C.embeddings(spark, d).where("doc % 100 = 0").select(F.col("doc").alias("q"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+
+
+@register("vector_exact_all", f"WITH a AS (SELECT vec_id AS q, embedding AS qv FROM embeddings WHERE {_ASKED}), x AS (SELECT q, vec_id AS doc, list_inner_product(embedding::DOUBLE[], qv::DOUBLE[]) AS s FROM a, embeddings), o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, doc) AS o FROM x) SELECT q, doc, round(s, 5) AS score FROM o WHERE o <= 10")
+def _(spark, d):
+    return R.exact_all(C.embeddings(spark, d), _asked(spark, d), 10).withColumn("score", F.round("score", 5))
+
+
 @register("ivfpq_search")
 def _(spark, d):
+    """The candidates of every query by codes alone, as deep as the rerank needs them."""
     v = C.embeddings(spark, d)
-    index = R.Ivfpq.train(v)
-    return index.search(index.encode(v), _query_vector(spark, d), 10)
+    index = R.Ivfpq.train(v, NLIST, SUBS, 8)
+    return index.search_all(index.encode(v), _asked(spark, d), DEPTH_RERANK, NPROBE)
 
 
 @register("ivfpq_rerank")
 def _(spark, d):
-    v = C.embeddings(spark, d)
-    index = R.Ivfpq.train(v)
-    return index.search_rerank(index.encode(v), v, _query_vector(spark, d), 10)
+    v, asked = C.embeddings(spark, d), _asked(spark, d)
+    index = R.Ivfpq.train(v, NLIST, SUBS, 8)
+    found = index.search_all(index.encode(v), asked, DEPTH_RERANK, NPROBE)
+    return R.rerank_all(found, v, asked, 10)
+
+
+def parts(spark, d) -> R.Ivfpq:
+    """An index given as parts: the first 16 vectors as centroids, and differences of 64 more as code words."""
+    rows = C.embeddings(spark, d).where("doc < 80").orderBy("doc").collect()
+    x = np.array([r.v for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    books = (x[16:] - x[np.arange(64) % 16]).reshape(64, 8, -1).transpose(1, 0, 2)
+    return R.Ivfpq(x[:16], np.ascontiguousarray(books))
+
+
+_SQ = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: ({0}[i] - {1}[i]) * ({0}[i] - {1}[i])))"
+
+
+@register("ivfpq_from_parts", f"""WITH u AS (SELECT vec_id AS doc, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
+cen AS (SELECT doc AS c, v AS cv FROM u WHERE doc < 16), dim AS (SELECT len(v) // 8 AS w FROM u WHERE doc = 0),
+bk AS (SELECT s, a.doc - 16 AS t, list_transform(range(s * w + 1, s * w + w + 1), lambda i: a.v[i] - b.v[i]) AS bv FROM u a JOIN u b ON b.doc = (a.doc - 16) % 16, dim, range(8) r(s) WHERE a.doc BETWEEN 16 AND 79),
+near AS (SELECT doc, c, v, cv, {_SQ.format('v', 'cv')} AS dist FROM u, cen),
+asg AS (SELECT doc, c, v, cv FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY dist, c) AS o FROM near) WHERE o = 1),
+sub AS (SELECT doc, c, s, list_transform(range(s * w + 1, s * w + w + 1), lambda i: v[i] - cv[i]) AS r FROM asg, dim, range(8) x(s)),
+code AS (SELECT doc, c, s, t, bv FROM (SELECT *, row_number() OVER (PARTITION BY doc, s ORDER BY {_SQ.format('r', 'bv')}, t) AS o FROM sub JOIN bk USING (s)) WHERE o = 1),
+probe AS (SELECT doc AS q, c, v, cv FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY dist, c) AS o FROM near WHERE doc % 100 = 0) WHERE o <= 4),
+psub AS (SELECT q, c, s, list_transform(range(s * w + 1, s * w + w + 1), lambda i: v[i] - cv[i]) AS r FROM probe, dim, range(8) x(s)),
+adc AS (SELECT q, doc, sum({_SQ.format('r', 'bv')}) AS dist FROM psub JOIN code USING (c, s) GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(dist, 9), doc) AS o FROM adc) SELECT q, doc, round(1 - dist / 2, 5) AS score FROM o WHERE o <= 10""")
+def _(spark, d):
+    v, index = C.embeddings(spark, d), parts(spark, d)
+    return index.search_all(index.take(index.encode(v)), _asked(spark, d), 10, 4).withColumn("score", F.round("score", 5))
 
 
 _LISTS = f"t AS (SELECT doc, row_number() OVER (ORDER BY doc) AS rank FROM (SELECT doc FROM hits ORDER BY doc LIMIT 100)), v AS (SELECT doc, row_number() OVER (ORDER BY s DESC, doc) AS rank FROM (SELECT * FROM {_V} ORDER BY s DESC, doc LIMIT 100))"
@@ -327,7 +437,7 @@ def _(spark, d):
 
 @register("hybrid_search", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)}, {_Q}, {_LISTS}, f AS (SELECT doc, sum(1e0 / (60 + rank)) AS s FROM (SELECT * FROM t UNION ALL SELECT * FROM v) GROUP BY doc) SELECT doc, round(s, 9) AS score FROM f WHERE doc IN ({_MATCH}) ORDER BY s DESC, doc LIMIT 20")
 def _(spark, d):
-    out = FA.apply(_fused(spark, d), C.facet_rows(_docs(spark, d)), INCLUDE)
+    out = FA.apply(_fused(spark, d), _index(spark, d).facets(), INCLUDE)
     return out.orderBy(F.desc("score"), "doc").limit(20).withColumn("score", F.round("score", 9))
 
 
@@ -372,10 +482,42 @@ def _(spark, d):
     return SP.locate(docs.select("doc"), SP.manifest(SP.assign(docs, SPLIT)))
 
 
+def _split_grams(spark, d, keys=GRAM_QUERY):
+    return SP.assign(_index(spark, d).grams(keys), SPLIT)
+
+
 @register("split_search_tiered", f"WITH {_GRAMS}, {_gram_hits(GRAM_QUERY, 6)} SELECT doc FROM hits ORDER BY doc LIMIT 30")
 def _(spark, d):
-    docs = _docs(spark, d)
-    return SP.tiered(P.gram_postings(docs, only=GRAM_QUERY), SP.manifest(SP.assign(docs, SPLIT)), "gram", GRAM_QUERY, 30)
+    return SP.tiered(_index(spark, d).grams(GRAM_QUERY), SP.manifest(SP.assign(_docs(spark, d), SPLIT)), "gram", GRAM_QUERY, 30)
+
+
+@register("split_search_filtered", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)} SELECT doc FROM hits WHERE doc IN ({_MATCH}) ORDER BY doc LIMIT 40")
+def _(spark, d):
+    grams, facets = _split_grams(spark, d), SP.assign(_index(spark, d).facets(), SPLIT)
+    return SP.search_filtered(grams, facets, SP.summary(grams, "gram"), SP.facet_summary(facets), "gram", GRAM_QUERY, INCLUDE, 40)
+
+
+@register("term_split_search", f"WITH {_TERMS}, {_term_hits(TERMS, 3)} SELECT doc FROM hits ORDER BY doc LIMIT 40")
+def _(spark, d):
+    terms = SP.assign(_index(spark, d).terms(TERMS), SPLIT)
+    return SP.search_filtered(terms, _index(spark, d).facets(), SP.summary(terms, "term"), None, "term", TERMS, [], 40)
+
+
+@register("split_prune", f"WITH {_GRAMS}, k AS (SELECT doc // {SPLIT} AS split, count(DISTINCT gram) AS n FROM grams WHERE gram IN {_in(GRAM_QUERY)} GROUP BY 1), {_FACETS}, f AS (SELECT doc // {SPLIT} AS split, count(DISTINCT field) AS n FROM facets WHERE {_pairs(INCLUDE)} GROUP BY 1) SELECT split FROM k JOIN f USING (split) WHERE k.n = 6 AND f.n = 2")
+def _(spark, d):
+    held = SP.holding(SP.summary(_split_grams(spark, d), "gram"), "gram", GRAM_QUERY)
+    return held.join(SP.allowing(SP.facet_summary(SP.assign(_index(spark, d).facets(), SPLIT)), INCLUDE), "split", "left_semi")
+
+
+@register("split_facet_counts_top", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)}, sf AS (SELECT doc // {SPLIT} AS split, field, category, count(*) AS df, count(*) FILTER (doc IN (SELECT doc FROM hits)) AS c FROM facets GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY split, field ORDER BY df DESC, category) AS o FROM sf) SELECT field, category, sum(c)::BIGINT AS cnt FROM o WHERE o <= 4 AND c > 0 GROUP BY ALL")
+def _(spark, d):
+    return SP.facet_counts_top(SP.assign(_hits(spark, d), SPLIT), SP.assign(_index(spark, d).facets(), SPLIT), 4)
+
+
+@register("split_verify", f"WITH {_DOCS} SELECT 0::BIGINT AS split, '' AS problem FROM docs WHERE false")
+def _(spark, d):
+    docs = SP.assign(_docs(spark, d), SPLIT)
+    return SP.verify(docs, SP.manifest(docs))
 
 
 @register("split_search_stable_key", f"WITH {_GRAMS}, {_gram_hits(GRAM_QUERY, 6)} SELECT doc, doc_id FROM hits JOIN docs USING (doc) ORDER BY doc_id DESC, doc LIMIT 30")
@@ -398,12 +540,12 @@ def _(spark, d):
 
 @register("split_facet_counts", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)} SELECT field, category, count(*) AS cnt FROM facets JOIN hits USING (doc) GROUP BY ALL")
 def _(spark, d):
-    return SP.facet_counts(_hits(spark, d), C.facet_rows(_docs(spark, d)))
+    return SP.facet_counts(_hits(spark, d), _index(spark, d).facets())
 
 
-@register("split_count_estimate", f"WITH {_GRAMS}, x AS (SELECT doc // {SPLIT} AS split, gram, count(*) AS df FROM grams WHERE gram IN {_in(GRAM_QUERY)} GROUP BY ALL), y AS (SELECT split, min(df) AS low FROM x GROUP BY split HAVING count(*) = 6) SELECT coalesce(sum(low), 0)::BIGINT AS estimate FROM y")
+@register("split_count_estimate", f"WITH {_GRAMS}, x AS (SELECT doc // {SPLIT} AS split, gram, count(*) AS df FROM grams WHERE gram IN {_in(GRAM_QUERY)} GROUP BY ALL), y AS (SELECT split, min(df) AS low FROM x GROUP BY split HAVING count(*) = 6) SELECT coalesce(sum(low), 0)::BIGINT AS estimate, false AS exact FROM y")
 def _(spark, d):
-    return SP.count_estimate(SP.assign(P.gram_postings(_docs(spark, d), only=GRAM_QUERY), SPLIT), "gram", GRAM_QUERY)
+    return SP.count_estimate(SP.summary(_split_grams(spark, d), "gram"), "gram", GRAM_QUERY)
 
 
 @register("split_count_exact", f"WITH {_GRAMS}, {_gram_hits(GRAM_QUERY, 6)}, {_DEAD} SELECT count(*) AS n FROM hits WHERE doc NOT IN (SELECT doc FROM dead)")
@@ -419,5 +561,63 @@ def _(spark, d):
 @register("catalog_search", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)} SELECT doc, doc_id, lang, source, n_chars FROM hits JOIN docs USING (doc) WHERE doc IN ({_MATCH}) ORDER BY doc LIMIT 25")
 def _(spark, d):
     docs = _docs(spark, d)
-    page = S.page(FA.apply(_hits(spark, d).select("doc"), C.facet_rows(docs), INCLUDE), 25)
+    page = S.page(FA.apply(_hits(spark, d).select("doc"), _index(spark, d).facets(), INCLUDE), 25)
     return page.join(docs.select("doc", "doc_id", "lang", "source", "n_chars"), "doc")
+
+
+# ---- servers: a page, its total and its facet counts in one relation (part, pos, doc, field, category, n)
+_PAGE = "SELECT 'page' AS part, row_number() OVER (ORDER BY {1}) - 1 AS pos, doc, NULL AS field, NULL AS category, NULL AS n FROM {0} ORDER BY pos LIMIT 25"
+_ANSWER = "SELECT * FROM ({page}) UNION ALL SELECT 'total', NULL, NULL, NULL, NULL, count(*) FROM {all} UNION ALL SELECT 'facet', NULL, NULL, field, category, (SELECT count(*) FROM facets f JOIN {counted} h USING (doc) WHERE f.field = fdict.field AND f.category = fdict.category) FROM fdict"
+
+
+def answer(ranked: DataFrame, order: list, counts: DataFrame, limit: int = 25, offset: int = 0) -> DataFrame:
+    """``ranked`` holds the hits, ``counts`` (field, category, cnt)."""
+    null = lambda t: F.lit(None).cast(t)
+    rows = ranked.orderBy(*order).limit(offset + limit)
+    page = rows.withColumn("pos", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")).where(F.col("pos") >= offset)
+    page = page.select(F.lit("page").alias("part"), "pos", "doc", null("string").alias("field"), null("string").alias("category"), null("long").alias("n"))
+    total = ranked.agg(F.count("*").alias("n")).select(F.lit("total"), null("long"), null("long"), null("string"), null("string"), "n")
+    return page.union(total).union(counts.select(F.lit("facet"), null("long"), null("long"), "field", "category", "cnt"))
+
+
+@register("ngram_server", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(FUZZY_QUERY, 5, 'every')}, hits AS (SELECT doc FROM every WHERE doc IN ({_MATCH})), head AS (SELECT doc FROM hits WHERE doc < {HEAD}) {_ANSWER.format(page=_PAGE.format('hits', 'doc'), all='hits', counted='head')}")
+def _(spark, d):
+    """Fuzzy n-gram search inside a filter; counts over the head of the hits."""
+    ix = _index(spark, d)
+    hits = FA.apply(_hits(spark, d, FUZZY_QUERY, 2).select("doc"), ix.facets(), INCLUDE)
+    return answer(hits, ["doc"], FA.counts(hits, ix.facets(), HEAD, known=ix.table("facet_dict")))
+
+
+TERM_WINDOW, TERM_DEPTH, HYBRID_DEPTH, HYBRID_MATCH = 2000, 1000, 250, 2
+_RANKED = f"ranked AS (SELECT doc, round(coalesce(s, 0), 6) AS s FROM cand LEFT JOIN part USING (doc) ORDER BY 2 DESC, doc LIMIT {{}})"
+
+
+@register("term_server", f"WITH {_IMPACTS}, {_FACETS}, {_term_hits(TERMS, 3)}, cand AS (SELECT doc FROM hits ORDER BY doc LIMIT {TERM_WINDOW}), {_PART}, {_RANKED.format(TERM_DEPTH)}, kept AS (SELECT * FROM ranked WHERE doc IN ({_MATCH})), head AS (SELECT doc FROM ranked WHERE doc < {HEAD}) {_ANSWER.format(page=_PAGE.format('kept', 's DESC, doc'), all='kept', counted='head')}")
+def _(spark, d):
+    """BM25 inside a filter; counts over the head of what was ranked before the filter."""
+    ix = _index(spark, d)
+    cand = S.page(S.k_of_n(ix.terms(TERMS), "term", TERMS).select("doc"), TERM_WINDOW)
+    ranked = _bm25(spark, d, cand, 1 << 20).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc").limit(TERM_DEPTH)
+    return answer(FA.apply(ranked, ix.facets(), INCLUDE), [F.desc("score"), F.asc("doc")], FA.counts(ranked, ix.facets(), HEAD, known=ix.table("facet_dict")))
+
+
+@register("hybrid_server", f"WITH {_IMPACTS}, {_FACETS}, {_term_hits(TERMS, HYBRID_MATCH)}, cand AS (SELECT doc FROM hits ORDER BY doc LIMIT {TERM_WINDOW}), {_PART}, {_RANKED.format(HYBRID_DEPTH)}, {_Q}, t AS (SELECT doc, row_number() OVER (ORDER BY s DESC, doc) AS rank FROM ranked), v AS (SELECT doc, row_number() OVER (ORDER BY s DESC, doc) AS rank FROM (SELECT doc, round(s, 6) AS s FROM {_V} ORDER BY 2 DESC, doc LIMIT {HYBRID_DEPTH})), f AS (SELECT doc, round(sum(1e0 / (60 + rank)), 9) AS s FROM (SELECT * FROM t UNION ALL SELECT * FROM v) GROUP BY doc), kept AS (SELECT * FROM f WHERE doc IN ({_MATCH})) {_ANSWER.format(page=_PAGE.format('kept', 's DESC, doc'), all='kept', counted='kept')}")
+def _(spark, d):
+    """Words (two of them at least) and a vector, fused, inside a filter; counts over all that is left."""
+    ix = _index(spark, d)
+    cand = S.page(_min_match(spark, d, HYBRID_MATCH).select("doc"), TERM_WINDOW)
+    text = _bm25(spark, d, cand, 1 << 20, LENIENT).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc").limit(HYBRID_DEPTH)
+    near = R.exact_knn(C.embeddings(spark, d), _query_vector(spark, d), 1 << 20).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc").limit(HYBRID_DEPTH)
+    fused = R.fuse([R.with_rank(x, F.desc("score"), "doc") for x in (text, near)]).withColumn("score", F.round("score", 9))
+    kept = FA.apply(fused, ix.facets(), INCLUDE)
+    return answer(kept, [F.desc("score"), F.asc("doc")], FA.counts(kept, ix.facets(), known=ix.table("facet_dict")))
+
+
+@register("catalog_page", f"WITH {_GRAMS}, {_FACETS}, {_gram_hits(GRAM_QUERY, 6)}, kept AS (SELECT doc FROM hits WHERE doc IN ({_MATCH})) {_ANSWER.format(page=_PAGE.format('kept', 'doc'), all='kept', counted='kept')} UNION ALL SELECT 'record', NULL, doc, lang, source, n_chars FROM docs WHERE doc IN (SELECT doc FROM kept ORDER BY doc LIMIT 25)")
+def _(spark, d):
+    """Ids, records and facet counts of one page."""
+    ix = _index(spark, d)
+    kept = FA.apply(_hits(spark, d).select("doc"), ix.facets(), INCLUDE)
+    stored = R.gather(S.page(kept, 25), ix.table("records")).select("doc", F.from_json("payload", "lang string, source string, n_chars long").alias("r"))
+    records = stored.select(F.lit("record"), F.lit(None).cast("long"), "doc", "r.lang", "r.source", "r.n_chars")
+    return answer(kept, ["doc"], FA.counts(kept, ix.facets(), known=ix.table("facet_dict"))).union(records)

@@ -1,12 +1,14 @@
 """Facts that SQL doesn't cover: functions, ingestion, approximate search, filters."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.functions import stemming
 from lodestone.functions import text as X
-from lodestone.operators import facets, ranking, splits
-from lodestone.sources import corpus
-from lodestone.streaming.ingest import SplitWriter
+from lodestone.operators import facets, postings, ranking, search, splits
+from lodestone.sources import corpus, index
+from lodestone.streaming.ingest import ConcurrentWriter, SplitWriter, ingest_batch, stream_into
 
 
 def one(spark, c):
@@ -32,24 +34,150 @@ def test_ingest_lifecycle(spark, tmp_path):
     again = SplitWriter(spark, str(tmp_path))
     assert again.next_doc == 2 and [r.doc for r in again.read().collect()] == [1]
     again.compact([s["name"] for s in again.splits()])
-    assert len(again.splits()) == 1 and again.splits()[0]["tombstones"] == [0] and [r.doc for r in again.read().collect()] == [1]
+    assert len(again.splits()) == 1 and [r.doc for r in again.tombstones().collect()] == [0] and [r.doc for r in again.read().collect()] == [1]
     with pytest.raises(ValueError):
         again.compact(["none"])
 
 
-def test_ivfpq_recall(spark):
-    v = corpus.embeddings(spark, "/root/testdata/sf0.01").cache()
-    index = ranking.Ivfpq.train(v)
-    codes = index.encode(v).cache()
-    found = total = 0
-    for q in (3, 77):
-        query = list(v.where(F.col("doc") == q).first().v)
-        exact = {r.doc for r in ranking.exact_knn(v, query, 10).collect()}
-        found += len(exact & {r.doc for r in index.search_rerank(codes, v, query, 10, 100, 16).collect()})
-        total += 10
-    assert found / total >= 0.9
+def test_ingest_replay_adds_nothing_twice(spark, tmp_path):
+    rows = spark.createDataFrame([("add", 1, "a b", None), ("add", 2, "c", None)], "op string, k long, text string, doc long")
+    gone = spark.createDataFrame([("delete", None, None, 1)], "op string, k long, text string, doc long")
+    path = str(tmp_path)
+    assert ingest_batch(rows, 0, path, "k") and not ingest_batch(rows, 0, path, "k")
+    assert ingest_batch(gone, 1, path, "k") and not ingest_batch(gone, 1, path, "k") and not ingest_batch(rows, 0, path, "k")
+    assert ingest_batch(rows, 0, path, "k", source="other")
+    assert [r.doc for r in SplitWriter(spark, path).read().orderBy("doc").collect()] == [0, 2, 3]
+
+
+def test_stream_of_micro_batches(spark, tmp_path):
+    schema = "op string, k long, text string, doc long"
+    spark.createDataFrame([("add", 5, "late", None), ("add", 3, "early", None)], schema).write.json(f"{tmp_path}/in")
+    for _ in range(2):  # the second run finds nothing new
+        stream_into(spark.readStream.schema(schema).json(f"{tmp_path}/in"), f"{tmp_path}/set", "k", f"{tmp_path}/check").awaitTermination()
+        assert [(r.doc, r.text) for r in SplitWriter(spark, f"{tmp_path}/set").read().orderBy("doc").collect()] == [(0, "early"), (1, "late")]
+
+
+def test_concurrent_writers_and_memtable(spark, tmp_path):
+    a, b = SplitWriter(spark, str(tmp_path)), SplitWriter(spark, str(tmp_path), flush_bytes=4)
+    one = spark.createDataFrame([(1, "text")], "k long, text string")
+    a.add(one, "k")
+    assert a.pending_docs == 1 and a.flush()["n"] == 1
+    with pytest.raises(ConcurrentWriter):
+        b.add(one, "k")  # it is large enough to be flushed at once
+    c = SplitWriter(spark, str(tmp_path), flush_bytes=4)
+    c.add(one, "k")
+    assert c.pending_docs == 0 and len(SplitWriter(spark, str(tmp_path)).splits()) == 2
+
+
+def test_ranks_of_ties_nulls_and_many_partitions(spark):
+    rows = [(i, None if i % 7 == 0 else i % 3, f"n{i}") for i in range(500)]
+    got = postings.assign_ranks(spark.createDataFrame(rows, "k long, r int, __at string").repartition(9), "r", "k")
+    want = [k for k, *_ in sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))]
+    assert [r.k for r in got.orderBy("doc").collect()] == want and got.columns == ["k", "r", "__at", "doc"]
+    assert [r.doc for r in got.select("doc").orderBy("doc").collect()] == list(range(500))
+    assert postings.assign_ranks(spark.createDataFrame([], "k long, r int"), "r", "k").count() == 0
+
+
+def test_index_round_trip_and_pruned_plan(spark, tmp_path):
+    docs = postings.assign_ranks(spark.createDataFrame([(1, "alpha beta", 5), (2, "beta Gamma", 9), (3, None, 1)], "k long, text string, n long"), "n", "k")
+    ix = index.build(docs, f"{tmp_path}/ix", {"size": F.when(F.col("n") > 4, "big")})
+    assert index.Index(spark, f"{tmp_path}/ix").complete() and not index.Index(spark, f"{tmp_path}/none").complete()
+    assert [tuple(r) for r in ix.terms().select("term", "doc", "tf").orderBy("term", "doc").collect()] == [("alpha", 1, 1), ("beta", 0, 1), ("beta", 1, 1), ("gamma", 0, 1)]
+    assert {r.gram for r in ix.grams().where("doc = 0").collect()} == {"bet", "eta", "gam", "amm", "mma"}
+    assert [tuple(r) for r in ix.table("facet_dict").collect()] == [("size", "big", 2)] and ix.table("records").count() == 3
+    plan = ix.grams(["bet"])._jdf.queryExecution().toString()
+    assert "PushedFilters" in plan and "EqualTo(gram,bet)" in plan.replace("In(gram, [bet])", "EqualTo(gram,bet)")
+    with pytest.raises(Exception):
+        index.build(docs, f"{tmp_path}/ix", {})
+    with pytest.raises(ValueError):
+        ix.table("other")
+
+
+def test_cursor_pages_without_gaps(spark):
+    c = search.Cursor(spark.range(7).withColumnRenamed("id", "doc"))
+    assert (c.next(3), c.next(3), c.next(3), c.next(3), c.loaded) == ([0, 1, 2], [3, 4, 5], [6], [], 7)
+    assert [r.doc for r in c.page(2, 2).collect()] == [2, 3]
+
+
+def test_min_match_strict_and_lenient(spark):
+    p = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2)], "term string, doc long")
+    d = postings.dictionary(p, "term")
+    of = lambda keys, n: {r.doc for r in search.min_match(p, d, "term", keys, n).collect()}
+    assert of(["a", "b", "x"], 3) == {1} and of(["a", "x"], 2) == {1, 2} and of(["x", "y"], 1) == set() and of(["a"], 0) == {1, 2}
+    assert search.query_postings(p, d, "term", ["a", "x"]).count() == 0 and search.query_postings(p, d, "term", ["a", "x"], strict=False).count() == 2
+    assert tuple(search.prefix_truncated(d, "", 1).first()) == (1, True)
+
+
+def test_stemmers_languages_and_stop_words(spark):
+    known = {"english": "running run relational relat happiness happi hopping hop hoping hope generously generous flies fli dying die news news abilities abil conspicuously conspicu controlling control", "danish": "løbende løb", "norwegian": "løpende løp", "swedish": "springande spring", "dutch": "lopende lopend"}
+    for lang, pairs in known.items():
+        w = pairs.split()
+        got = spark.createDataFrame([(x,) for x in w[::2]], "t string").select(stemming.stem(F.col("t"), lang).alias("s")).collect()
+        assert [r.s for r in got] == w[1::2]
+    with pytest.raises(ValueError):
+        stemming.stem_word("x", "tamil")
+    assert X.language(" EN ") == (1, "english") and X.language("Turkish") == (18, "turkish")
     with pytest.raises(ValueError):
-        index.search(codes, [1.0], 3)
+        X.language("xx")
+    assert {"und", "der"} <= set(stemming.stop_words("german")) and "le" in stemming.stop_words("french")
+    rows = postings.term_postings(spark.createDataFrame([(1, "Running the runs")], "doc long, text string"), stop=X.ENGLISH, stem=lambda t: stemming.stem(t))
+    assert [tuple(r) for r in rows.collect()] == [("run", 1, 2)]
+
+
+def test_facet_keys_and_case(spark):
+    h = 0xCBF29CE484222325
+    for b in b"lang\x1fen":
+        h = (h ^ b) * 0x100000001B3 % (1 << 64)
+    assert one(spark, X.facet_key(F.lit("Lang"), F.lit("EN"))) % (1 << 64) == h
+    assert one(spark, X.ngrams(F.lit("AbCd"), 3, True)) == ["AbC", "bCd"]
+
+
+def test_ivfpq_recall_of_the_registered_queries(spark):
+    """Every query of the stated set, by the parameters that are registered: at least 0.9 of the exact neighbours."""
+    from lodestone.plans import catalogue
+
+    for sf in ("0.01", "0.1"):
+        d = f"/root/testdata/sf{sf}"
+        exact = {tuple(r) for r in catalogue.QUERIES["vector_exact_all"](spark, d).select("q", "doc").collect()}
+        for name in ("ivfpq_search", "ivfpq_rerank"):
+            found = {tuple(r) for r in catalogue.QUERIES[name](spark, d).select("q", "doc").collect()}
+            assert len(exact & found) / len(exact) >= 0.9, (name, sf)
+
+
+def test_ivfpq_parts_are_checked(spark):
+    with pytest.raises(ValueError):
+        ranking.Ivfpq(np.zeros((2, 4)), np.zeros((2, 3, 3)))
+    with pytest.raises(ValueError):
+        ranking.Ivfpq(np.full((2, 4), np.nan), np.zeros((2, 3, 2)))
+    ix = ranking.Ivfpq(np.zeros((2, 4)), np.zeros((2, 3, 2)), "l2")
+    with pytest.raises(ValueError):
+        ix.take(spark.createDataFrame([(5, 1, [0, 0])], "cluster int, doc long, code array<smallint>"))
+
+
+def test_split_family(spark):
+    m = lambda *r: spark.createDataFrame(r, "split long, doc_lo long, doc_hi long, doc_count long")
+    both = splits.merged([m((0, 0, 4, 5), (1, 5, 9, 5)), m((0, 10, 12, 3))])
+    assert [r.split for r in both.orderBy("doc_lo").collect()] == [0, 1, 2]
+    assert [tuple(r) for r in splits.locate(spark.createDataFrame([(0,), (9,), (12,), (99,)], "doc long"), both).orderBy("doc").collect()] == [(0, 0, 0), (9, 1, 4), (12, 2, 2)]
+    with pytest.raises(ValueError):
+        splits.merged([m((0, 0, 4, 5)), m((0, 4, 6, 3))])
+    docs = spark.createDataFrame([(i, i // 5) for i in range(13)], "doc long, split long")
+    assert splits.verify(docs, both).count() == 0
+    bad = {(r.split, r.problem) for r in splits.verify(docs, m((0, 0, 5, 5), (1, 5, 9, 4), (7, 20, 21, 2))).collect()}
+    assert bad == {(0, "range"), (0, "overlap"), (1, "count"), (2, "not in the manifest"), (7, "no documents")}
+    with pytest.raises(ValueError):
+        splits.search_filtered(None, None, None, None, "gram", ["a"], [], 5, exclude=[("a", "b")])
+    keys = spark.createDataFrame([(i, [f"k{i}", f"k{i + 1}"]) for i in range(40)], "doc long, keys array<string>")
+    got = splits.seal(keys, 400, 800, band=10).orderBy("doc").collect()
+    assert [r.split for r in got] == sorted(r.split for r in got) and {r.doc for r in got if r.tier == 0} >= {0, 10, 20, 30}
+
+
+def test_works_loader(spark, tmp_path):
+    lines = ['{"id":"https://x.org/W1","display_name":"A title","abstract_inverted_index":{"b":[1],"a":[0,2]},"authorships":[{"author":{"display_name":"X"}},{"author":{"display_name":"Y"}}],"publication_year":1999,"concepts":[{"display_name":"C"}],"doi":"https://doi.org/10.1/Z"}', '{"id":"W2","display_name":""}', "not json"]
+    (tmp_path / "w.jsonl").write_text("\n".join(lines))
+    got = corpus.load_works(spark, f"{tmp_path}/w.jsonl").collect()
+    assert [(r.id, r.title, r.abstract, r.authors, r.topic, r.year, r.cited, r.doi) for r in got] == [("W1", "A title", "a b a", "X; Y", "C", 1999, 0, "10.1/z")]
+    assert corpus.table(spark, f"{tmp_path}/none", "a int").count() == 0
 
 
 def test_fusion_filters_and_sealing(spark):
