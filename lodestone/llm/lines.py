@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,16 +208,16 @@ def tag_of(text: str):
     return F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(1 << 31))
 
 
-def cut_runs(data: bytes, lines: Lines, matched: np.ndarray, min_words: int) -> tuple[bytes, int, int]:
+def cut_runs(data: bytes, start: np.ndarray, end: np.ndarray, words: np.ndarray, matched: np.ndarray, min_words: int) -> tuple[bytes, int, int]:
     """(text left, words deleted, runs deleted) of one text whose ``matched`` lines repeat."""
     edge = np.flatnonzero(np.diff(np.concatenate([[0], matched.view(np.int8), [0]])))
-    out, at, words, runs = [], 0, 0, 0
+    out, at, deleted, runs = [], 0, 0, 0
     for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
-        n = int(lines.words[a:b].sum())
+        n = int(words[a:b].sum())
         if n < min_words:
             continue
-        words, runs = words + n, runs + 1
-        s, e = int(lines.start[a]), int(lines.end[b - 1])
+        deleted, runs = deleted + n, runs + 1
+        s, e = int(start[a]), int(end[b - 1])
         tail = e
         while tail < len(data) and _GAP[data[tail]]:
             tail += 1
@@ -226,26 +227,39 @@ def cut_runs(data: bytes, lines: Lines, matched: np.ndarray, min_words: int) ->
             out[-1] = out[-1].rstrip(b" \t") + data[e:tail]
         at = tail
     out.append(data[at:])
-    return b"".join(out), words, runs
+    return b"".join(out), deleted, runs
 
 
 def clean(texts: pa.Array, spans: pa.Array, min_words: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
     """(text, words deleted, runs deleted, share of words in matched lines) of each row."""
-    out = strings(texts).to_pylist()
+    col = strings(texts)
+    out = col.to_pylist()
     words, runs, share = np.zeros(len(out), np.int64), np.zeros(len(out), np.int64), np.zeros(len(out))
-    for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)).tolist():
-        lines = Lines(pa.array([out[i]], pa.large_string()))
-        mark = np.zeros(len(lines.hash) + 1, np.int64)
-        line, kinds = (spans[i].values.field(c).to_numpy() for c in ("line", "kinds"))
-        lo, hi = (np.concatenate([line[kinds >> n & 1 == 1] + side * k[j] for n, k in enumerate(KINDS)]) for j, side in ((0, -1), (1, 1)))
-        so_far = np.concatenate([[0], np.cumsum(lines.words)])
-        counts = (hi - lo + 1 >= WINDOW) | (so_far[hi + 1] - so_far[lo] >= min_words)
-        np.add.at(mark, lo[counts], 1)
-        np.add.at(mark, hi[counts] + 1, -1)
-        matched = np.cumsum(mark[:-1]) > 0
-        left, words[i], runs[i] = cut_runs(out[i].encode(), lines, matched, min_words)
-        share[i] = lines.words[matched].sum() / max(1, so_far[-1])
-        out[i] = left.decode()
+    own = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+    if len(own):
+        col, spans = col.take(pa.array(own)), spans.take(pa.array(own))
+        n_spans = pc.list_value_length(spans).to_numpy(zero_copy_only=False).astype(np.int64)
+        upto = np.concatenate([[0], np.cumsum(n_spans)])
+        line, kinds = (spans.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("line", "kinds"))
+        for at, piece in pieces(col):
+            lines, n = Lines(piece), len(piece)
+            part = slice(upto[at], upto[at + n])
+            place = lines.first[np.repeat(np.arange(n), n_spans[at : at + n])] + line[part]
+            so_far = np.concatenate([[0], np.cumsum(lines.words)])
+            mark = np.zeros(len(so_far), np.int64)
+            for k, (back, on) in enumerate(KINDS):
+                lo = place[kinds[part] >> k & 1 == 1] - back
+                hi = lo + back + on + 1
+                counts = np.full(len(lo), back + on + 1 >= WINDOW) | (so_far[hi] - so_far[lo] >= min_words)
+                mark += np.bincount(lo[counts], minlength=len(mark)) - np.bincount(hi[counts], minlength=len(mark))
+            matched = np.cumsum(mark[:-1]) > 0
+            hit = np.concatenate([[0], np.cumsum(np.where(matched, lines.words, 0))])
+            hit, total = (x[lines.first[1:]] - x[lines.first[:-1]] for x in (hit, so_far))
+            share[own[at : at + n]] = hit / np.maximum(1, total)
+            for j in np.flatnonzero(hit >= min_words).tolist():
+                ls, i, base = slice(lines.first[j], lines.first[j + 1]), own[at + j], lines.off[j]
+                left, words[i], runs[i] = cut_runs(out[i].encode(), lines.start[ls] - base, lines.end[ls] - base, lines.words[ls], matched[ls], min_words)
+                out[i] = left.decode()
     valid = texts.is_valid().to_numpy(zero_copy_only=False)
     return [t if v else None for t, v in zip(out, valid)], words, runs, share
 
