@@ -41,6 +41,20 @@ def sort_topk(hits: DataFrame, columns: DataFrame, value: str, k: int, ascending
     return hits.join(columns, "doc").orderBy(v.asc() if ascending else v.desc(), "doc").limit(k)
 
 
+def column_metadata(docs: DataFrame, names: list[str]) -> DataFrame:
+    """(name, n_values, low, high) of numeric sort columns, in one pass (from the files' statistics where Spark can)."""
+    wide = docs.agg(*[x for n in names for x in (F.count(n).alias(f"n_{n}"), F.min(n).alias(f"lo_{n}"), F.max(n).alias(f"hi_{n}"))])
+    return wide.select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"n_{n}").alias("n_values"), F.col(f"lo_{n}").cast("long").alias("low"), F.col(f"hi_{n}").cast("long").alias("high")) for n in names])))
+
+
+def column_values(docs: DataFrame, ids: list[int], name: str) -> DataFrame:
+    """(doc, value) of the named documents in any order; an id beyond the column is an error."""
+    rows = docs.count()
+    if any(not 0 <= i < rows for i in ids):
+        raise ValueError(f"ids go from 0 to {rows - 1}")
+    return docs.where(F.col("doc").isin(list(ids))).select("doc", F.col(name).alias("value"))
+
+
 def secondary_page(hits: DataFrame, perm: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     return hits.join(perm, "doc").orderBy("sec_doc").offset(offset).limit(limit).select("sec_doc", "doc")
 

@@ -468,6 +468,18 @@ def _(spark, d):
     return S.page(S.union(*_ab(spark, d)), 15, 30)
 
 
+@register("bitmap_import", f"WITH {_GRAMS}, {_gram_hits(GRAM_QUERY, 6)} SELECT doc FROM hits WHERE doc IN (SELECT doc FROM docs JOIN labels USING (doc_id) WHERE quality = 1)")
+def _(spark, d):
+    """Hits inside a set of ids that came from elsewhere."""
+    outside = _docs(spark, d).join(spark.read.parquet(f"{d}/labels.parquet").where("quality = 1"), "doc_id").select("doc")
+    return S.intersect(_hits(spark, d), outside)
+
+
+@register("sortcol_metadata", f"WITH {_DOCS} SELECT 'n_chars' AS name, count(n_chars) AS n_values, min(n_chars) AS low, max(n_chars) AS high FROM docs UNION ALL SELECT 'doc_id', count(doc_id), min(doc_id), max(doc_id) FROM docs")
+def _(spark, d):
+    return R.column_metadata(_docs(spark, d), ["n_chars", "doc_id"])
+
+
 _SPLITS = f"sp AS (SELECT doc // {SPLIT} AS split, min(doc) AS doc_lo, max(doc) AS doc_hi, count(*) AS doc_count FROM docs GROUP BY 1)"
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.functions import stemming
+from lodestone.functions import embed, stemming
 from lodestone.functions import text as X
 from lodestone.operators import facets, postings, ranking, search, splits
 from lodestone.sources import corpus, index
@@ -93,6 +93,13 @@ def test_index_round_trip_and_pruned_plan(spark, tmp_path):
         ix.table("other")
 
 
+def test_column_values_are_checked(spark):
+    docs = spark.range(5).selectExpr("id as doc", "id * 2 as x")
+    assert sorted(r.value for r in ranking.column_values(docs, [3, 1], "x").collect()) == [2, 6]
+    with pytest.raises(ValueError):
+        ranking.column_values(docs, [5], "x")
+
+
 def test_cursor_pages_without_gaps(spark):
     c = search.Cursor(spark.range(7).withColumnRenamed("id", "doc"))
     assert (c.next(3), c.next(3), c.next(3), c.next(3), c.loaded) == ([0, 1, 2], [3, 4, 5], [6], [], 7)
@@ -190,3 +197,30 @@ def test_fusion_filters_and_sealing(spark):
     keys = spark.createDataFrame([(i, [f"k{i}", f"k{i + 1}"]) for i in range(20)], "doc long, keys array<string>")
     got = splits.seal(keys, 400, 800).orderBy("doc").collect()
     assert got[-1].split > 0 and [r.split for r in got] == sorted(r.split for r in got)
+
+
+def test_word_piece_embedding(spark):
+    pieces = ["[UNK]", "run", "##ning", "cafe", "!", "漢", "##n"]
+    codes = np.arange(14).reshape(7, 2)
+    rows = [(i, p, c.tolist(), 0.5) for i, (p, c) in enumerate(zip(pieces, codes))]
+    m = embed.load(spark.createDataFrame(rows, "id int, piece string, code array<int>, scale double"))
+    assert m.words("Run\u0000ning, Café!漢x") == ["running", ",", "cafe", "!", "漢", "x"]
+    assert m.pieces("running") == [1, 2] and m.pieces("runx") == [0] and m.pieces("r" * 101) == [0]
+    mean = codes[[1, 2]].mean(axis=0)
+    got = spark.createDataFrame([("running",), ("",), (None,)], "t string").select(m.column(spark, F.col("t")).alias("v")).collect()
+    assert np.allclose(got[0].v, mean / np.linalg.norm(mean)) and list(got[1].v) == [0, 0] == list(got[2].v)
+    with pytest.raises(ValueError):
+        embed.WordPieces(["a"], codes[:1], np.ones(1))
+
+
+def test_rerank_vectors_in_bfloat16(spark, tmp_path):
+    x = np.array([1.0, 1.00390625, 1.01171875, -3.1415927, 0.0, np.nan], np.float32)
+    assert np.array_equal(embed.round_bf16(x)[:5], np.array([1.0, 1.0, 1.015625, -3.140625, 0.0], np.float32)) and np.isnan(embed.round_bf16(x)[5])
+    v = corpus.embeddings(spark, "/root/testdata/sf0.001")
+    dim = len(v.first().v)
+    embed.write_rerank(v, dim, f"{tmp_path}/rr")
+    stored, query = spark.read.parquet(f"{tmp_path}/rr"), [float(c) for c in v.where("doc = 3").first().v]
+    exact = {r.doc for r in ranking.exact_knn(v.select("doc", X.l2_normalize(F.col("v")).alias("v")), query, 20).collect()}
+    assert len(exact & {r.doc for r in ranking.exact_knn(stored, query, 20).collect()}) >= 19
+    with pytest.raises(ValueError):
+        embed.write_rerank(v, dim + 1, f"{tmp_path}/bad")
