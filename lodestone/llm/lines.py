@@ -39,8 +39,8 @@ WINDOW = 3
 MIN_WORDS = 25
 #: A line is hot beyond so many estimated occurrences; so many are named at most; the sample is one document in so many.
 HOT_ROWS, HOT_LINES, HOT_SAMPLE = 100_000, 10_000, 64
-#: A document of whose words more than this share lies in matched lines isn't kept by ``without_repeats``.
-MOST = 1 / 3
+#: A document that loses words and of whose words more than this share lies in matched lines isn't kept by ``without_repeats``.
+MOST = 0.4
 #: Lines before and after a fingerprint that one earlier occurrence may share. Longer matches (2 and 1, 2 and 2) are unions of these.
 KINDS = ((0, 0), (1, 0), (2, 0), (0, 1), (0, 2), (1, 1))
 
@@ -285,26 +285,26 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, hot: np.ndarray | No
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, most: float = MOST) -> DataFrame:
     """The documents, all columns, with the text (and ``n_chars``, if there) after deletion.
 
-    Documents of whose words more than the share ``most`` lies in matched lines (runs of any length) go whole: what is left of
-    a near copy is a stump that nothing later would recognise.
+    Documents that would lose words and of whose words more than the share ``most`` lies in matched lines (runs of any
+    length) go whole: what is left of a near copy is a stump that nothing later would recognise.
     """
-    d, t, s, words = fresh(docs, "d", "tag", "spans", "share")
+    d, t, s, words, part = fresh(docs, "d", "tag", "spans", "words", "share")
     at = docs.columns.index("text")
     names = docs.columns
 
     def apply(batches):
         for b in batches:
-            text, _, _, share = clean(b.column(at), b.column(len(names)), min_words)
+            text, n, _, share = clean(b.column(at), b.column(len(names)), min_words)
             columns = b.columns[: len(names)]
             columns[at] = pa.array(text, pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(share)], [*names, words])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n), pa.array(share)], [*names, words, part])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(words, T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(words, T.LongType()), T.StructField(part, T.DoubleType())])
     out = with_spans(docs, d, t, s, min_words).select(*[F.col(f"`{c}`") for c in names], s).mapInArrow(apply, schema)
-    out = out.where(F.col(words) <= most)
+    out = out.where((F.col(words) == 0) | (F.col(part) <= most))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col(words) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.drop(words)
+    return out.drop(words, part)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +30,16 @@ from ._tokens import VOCABULARY, encode, on_executor, shipped
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 8, 3072
 GROUP = 2048
-PIECES = "ex_id long, piece long, n_tokens long, n_loss long, tokens array<int>, loss array<boolean>"
+PIECES = "ex_id long, piece long, n_tokens long, n_loss long, tokens binary, loss binary"  # ids and bits
 OUT = "bin_id long, n_tokens long, n_loss long, doc_ids array<long>, pieces array<long>, starts array<int>, tokens array<int>, loss array<boolean>"
 
 
+def id_type(vocabulary: str) -> np.dtype:
+    """How token ids lie in the bytes that are moved: 16 bits where the vocabulary allows it."""
+    with open(vocabulary, "rb") as f:
+        return np.dtype(np.uint16 if sum(1 for _ in f) <= 1 << 16 else np.uint32)
+
+
 def dot_product(sizes: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bin, slot) of each row of ``sizes`` (n x d integers, each row within ``limits``)."""
     n = len(sizes)
@@ -77,34 +84,82 @@ def cuts(loss: np.ndarray, max_tokens: int, max_loss: int) -> list[int]:
     return out
 
 
-def cut_examples(examples: DataFrame, max_tokens: int, max_loss: int) -> DataFrame:
-    """``PIECES`` of (ex_id, first_piece, tokens, loss)."""
+class Pieces:
+    """Cuts examples and gives their pieces back in batches of bounded size."""
+
+    def __init__(self, max_tokens: int, max_loss: int, size: int = 1 << 22):
+        self.limits, self.size, self.rows, self.held = (max_tokens, max_loss), size, [], 0
+
+    def add(self, ex: int | None, first: int, tokens: np.ndarray, loss: np.ndarray):
+        ends = cuts(loss, *self.limits) if len(tokens) else [0, 0]
+        for i, (x, y) in enumerate(zip(ends, ends[1:])):
+            self.rows.append((ex, first + i, y - x, int(loss[x:y].sum()), tokens[x:y].tobytes(), np.packbits(loss[x:y]).tobytes()))
+            self.held += tokens.itemsize * int(y - x)
+            if self.held > self.size:
+                yield self.batch()
+
+    def batch(self) -> pa.RecordBatch:
+        columns = zip(*self.rows) if self.rows else [[]] * 6
+        self.rows, self.held = [], 0
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [c.split()[0] for c in PIECES.split(", ")])
+
+
+def cut_examples(examples: DataFrame, max_tokens: int, max_loss: int, ids: np.dtype) -> DataFrame:
+    """``PIECES`` of (ex_id, first_piece, parts: array of (turn, loss, tokens) in reading order)."""
 
     def run(batches):
+        out = Pieces(max_tokens, max_loss)
         for b in batches:
-            for ex, base, tokens, loss in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                t = tokens.values.to_numpy(zero_copy_only=False).astype(np.int32)
-                m = loss.values.to_numpy(zero_copy_only=False).astype(bool)
-                at = cuts(m, max_tokens, max_loss) if len(t) else [0, 0]
-                step = 1024  # pieces of a very long example leave in several batches
-                for lo in range(0, len(at) - 1, step):
-                    part = at[lo : lo + step + 1]
-                    n = np.diff(part)
-                    bounds = pa.array(np.array(part) - part[0], pa.int32())
-                    span = slice(part[0], part[-1])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ex] * len(n), pa.int64()), pa.array(base + lo + np.arange(len(n))), pa.array(n), pa.array([int(m[x:y].sum()) for x, y in zip(part, part[1:])], pa.int64()), pa.ListArray.from_arrays(bounds, pa.array(t[span])), pa.ListArray.from_arrays(bounds, pa.array(m[span]))],
-                        ["ex_id", "piece", "n_tokens", "n_loss", "tokens", "loss"],
-                    )
-
-    return examples.select("ex_id", "first_piece", "tokens", "loss").mapInArrow(run, PIECES)
-
-
-def pack(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, group: int = GROUP) -> DataFrame:
-    """Pack (ex_id, first_piece, tokens, loss); one row for each sequence (``OUT``; ``doc_ids`` holds the ex_ids, ``starts`` where each piece begins)."""
-    if min(max_tokens, max_segments, max_loss) < 1:
+            parts = b.column(2)
+            n_parts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat, at = parts.flatten(), 0
+            tokens, bears = flat.field("tokens"), flat.field("loss").to_numpy(zero_copy_only=False).astype(bool)
+            for ex, first, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), n_parts.tolist()):
+                own = tokens.slice(at, n).to_pylist()
+                loss = np.repeat(bears[at : at + n], [len(x) // ids.itemsize for x in own])
+                at += n
+                yield from out.add(ex, first, np.frombuffer(b"".join(own), ids), loss)
+            yield out.batch()
+
+    return examples.select("ex_id", "first_piece", "parts").mapInArrow(run, PIECES)
+
+
+def document_pieces(docs: DataFrame, max_tokens: int, max_loss: int, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``PIECES`` of documents, each one example that bears loss on every token: encoded and cut where they lie."""
+    name, ids = shipped(docs.sparkSession, vocabulary), id_type(vocabulary)
+
+    def run(batches):
+        enc, out = on_executor(name), Pieces(max_tokens, max_loss)
+        for b in batches:
+            for ex, text in zip(b.column(0), b.column(1)):
+                tokens = np.array(encode(enc, text.as_py()) if text.is_valid else [], ids)
+                yield from out.add(ex.as_py(), 0, tokens, np.ones(len(tokens), bool))
+            yield out.batch()
+
+    return docs.select(F.col("doc_id").cast("long").alias("ex_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+
+
+def checked(*limits: int) -> None:
+    if min(limits) < 1:
         raise ValueError("limits must be positive")
-    rows = cut(cut_examples(examples, max_tokens, max_loss))
+
+
+def pack(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, max_loss: int = MAX_LOSS, group: int = GROUP, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Pack (ex_id, first_piece, parts); one row for each sequence (``OUT``; ``doc_ids`` holds the ex_ids, ``starts`` where each piece begins)."""
+    checked(max_tokens, max_segments, max_loss)
+    ids = id_type(vocabulary)
+    return pack_pieces(cut_examples(examples, max_tokens, max_loss, ids), max_tokens, max_segments, max_loss, group, ids)
+
+
+def pack_documents(docs: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int = MAX_SEGMENTS, group: int = GROUP, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Whole documents packed; every token bears loss, so the limit on those is the limit on tokens."""
+    checked(max_tokens, max_segments)
+    return pack_pieces(document_pieces(docs, max_tokens, max_tokens, vocabulary), max_tokens, max_segments, max_tokens, group, id_type(vocabulary))
+
+
+def pack_pieces(pieces: DataFrame, max_tokens: int, max_segments: int, max_loss: int, group: int, ids: np.dtype) -> DataFrame:
+    rows = cut(pieces)
     # Numbers of the rows of fixed files: dense inside each read partition, the same on every attempt.
     packed = rows.where("n_tokens > 0").withColumn("at", F.monotonically_increasing_id())
     groups = max(1, -(-packed.count() // group))
@@ -120,12 +175,13 @@ def pack(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int =
         where, slot = dot_product(size, limits)
         order = np.lexsort([slot, where])
         t, where, size = t.take(pa.array(order)), where[order], size[order]
-        t = t.combine_chunks()
         first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
         upto = np.append(first, len(where))
         offset = np.concatenate([[0], np.cumsum(size[:, 0])])
         by_piece, by_token = pa.array(upto, pa.int32()), pa.array(offset[upto], pa.int32())
-        flat = [t.column(i).chunk(0) for i in (0, 1, 4, 5)]
+        flat = [t.column(i).combine_chunks() for i in (0, 1)]
+        tokens = np.frombuffer(b"".join(t.column(4).to_pylist()), ids).astype(np.int32)
+        loss = np.concatenate([np.unpackbits(np.frombuffer(m, np.uint8), count=n) for m, n in zip(t.column(5).to_pylist(), size[:, 0].tolist())]).astype(bool)
         begin = offset[:-1] - np.repeat(offset[first], np.diff(upto))
         grp = t.column(6)[0].as_py()
         yield pa.RecordBatch.from_arrays(
@@ -136,8 +192,8 @@ def pack(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int =
                 pa.ListArray.from_arrays(by_piece, flat[0]),
                 pa.ListArray.from_arrays(by_piece, flat[1]),
                 pa.ListArray.from_arrays(by_piece, pa.array(begin, pa.int32())),
-                pa.ListArray.from_arrays(by_token, flat[2].flatten()),
-                pa.ListArray.from_arrays(by_token, flat[3].flatten()),
+                pa.ListArray.from_arrays(by_token, pa.array(tokens)),
+                pa.ListArray.from_arrays(by_token, pa.array(loss)),
             ],
             [c.split()[0] for c in OUT.split(", ")],
         )
@@ -145,27 +201,22 @@ def pack(examples: DataFrame, max_tokens: int = MAX_TOKENS, max_segments: int =
     spread = packed.withColumn("grp", F.pmod(F.xxhash64("at"), F.lit(groups)).cast("int"))
     done = spread.repartitionById(groups, "grp").drop("at").mapInArrow(one, OUT)
     zero = F.lit(0).cast("long")
-    none = rows.where("n_tokens = 0").select(F.lit(None).cast("long").alias("bin_id"), zero.alias("n_tokens"), zero.alias("n_loss"), F.array("ex_id").alias("doc_ids"), F.array("piece").alias("pieces"), F.array(F.lit(0)).alias("starts"), "tokens", "loss")
+    none = rows.where("n_tokens = 0").select(F.lit(None).cast("long").alias("bin_id"), zero.alias("n_tokens"), zero.alias("n_loss"), F.array("ex_id").alias("doc_ids"), F.array("piece").alias("pieces"), F.array(F.lit(0)).alias("starts"), F.array().cast("array<int>").alias("tokens"), F.array().cast("array<boolean>").alias("loss"))
     return done.unionByName(none)
 
 
 def encoded(rows: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``rows`` with the token ids of their last column, ``text``, in its place."""
-    name = shipped(rows.sparkSession, vocabulary)
+    """``rows`` with ``tokens`` (ids as bytes, see ``id_type``) in the place of their last column, ``text``."""
+    name, ids = shipped(rows.sparkSession, vocabulary), id_type(vocabulary)
     keep = rows.dtypes[:-1]
 
     def run(batches):
         enc = on_executor(name)
         for b in batches:
-            got, size, at = [], 0, 0
-            for i, t in enumerate(b.column(len(keep))):
-                got.append(encode(enc, t.as_py()) if t.is_valid else [])
-                size += len(got[-1])
-                if size > 1 << 20 or i + 1 == b.num_rows:
-                    yield pa.RecordBatch.from_arrays([*(c.slice(at, len(got)) for c in b.columns[: len(keep)]), pa.array(got, pa.list_(pa.int32()))], [*(c for c, _ in keep), "tokens"])
-                    got, size, at = [], 0, i + 1
+            got = [np.array(encode(enc, t.as_py()), ids).tobytes() if t.is_valid else b"" for t in b.column(len(keep))]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(got, pa.binary())], [*(c for c, _ in keep), "tokens"])
 
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in keep), "tokens array<int>"]))
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {t}" for c, t in keep), "tokens binary"]))
 
 
 def conversation_examples(turns: DataFrame, vocabulary: str = VOCABULARY, max_tokens: int = MAX_TOKENS) -> DataFrame:
@@ -175,19 +226,8 @@ def conversation_examples(turns: DataFrame, vocabulary: str = VOCABULARY, max_to
     block = F.coalesce(F.floor(F.col("turn") / max_tokens), F.lit(0)).cast("long")
     lone = F.when(F.col("ex_id").isNull(), F.monotonically_increasing_id())
     # Sets, so that copies of a turn are merged before they move.
-    whole = n.withColumn("lone", lone).groupBy("ex_id", "lone", block.alias("block")).agg(F.sort_array(F.collect_set(F.struct("turn", "loss", "tokens"))).alias("turns"))
-    return whole.select("ex_id", F.when(F.col("lone").isNull(), F.shiftleft("block", 32)).otherwise(F.lit(0)).alias("first_piece"), F.flatten("turns.tokens").alias("tokens"), F.flatten(F.transform("turns", lambda t: F.transform(t["tokens"], lambda _: t["loss"]))).alias("loss"))
-
-
-def document_examples(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Each document as one example that bears loss on every token."""
-    n = encoded(docs.select(F.col("doc_id").cast("long").alias("ex_id"), F.col("text").cast("string").alias("text")), vocabulary)
-    return n.select("ex_id", F.lit(0).cast("long").alias("first_piece"), "tokens", F.transform("tokens", lambda _: F.lit(True)).alias("loss"))
-
-
-def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Whole documents packed; every token bears loss, so the limit on those is the limit on tokens."""
-    return pack(document_examples(docs, vocabulary), MAX_TOKENS, MAX_SEGMENTS, MAX_TOKENS)
+    whole = n.withColumn("lone", lone).groupBy("ex_id", "lone", block.alias("block")).agg(F.sort_array(F.collect_set(F.struct("turn", "loss", "tokens"))).alias("parts"))
+    return whole.select("ex_id", F.when(F.col("lone").isNull(), F.shiftleft("block", 32)).otherwise(F.lit(0)).alias("first_piece"), "parts")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
-def rerank(candidates: DataFrame, impacts: DataFrame, dictionary: DataFrame, stats: DataFrame, keys: list[str], k: int, k1: float = 1.2) -> DataFrame:
-    """The best ``k`` candidates by summed ``idf * impact`` of the query's ``keys``; those without a term score 0."""
+def rerank(candidates: DataFrame, impacts: DataFrame, dictionary: DataFrame, stats: DataFrame, keys: list[str], k: int, k1: float = 1.2, digits: int | None = None) -> DataFrame:
+    """The best ``k`` candidates by summed ``idf * impact`` of the query's ``keys``; those without a term score 0. ``digits``: scores that agree so far are ties."""
     few = dictionary.where(F.col("term").isin(keys))  # a row for each term of the query
     weights = few.crossJoin(F.broadcast(stats)).select("term", X.idf(F.col("n"), F.col("df")).alias("w"))
     near = impacts.where(F.col("term").isin(keys)).join(candidates.select("doc"), "doc", "left_semi")
     part = near.join(F.broadcast(weights), "term").groupBy("doc").agg(F.sum(F.col("w") * F.col("impact") * (k1 + 1) / 255.0).alias("s"))
-    return candidates.select("doc").join(part, "doc", "left").select("doc", F.coalesce("s", F.lit(0.0)).alias("score")).orderBy(F.desc("score"), "doc").limit(k)
+    return candidates.select("doc").join(part, "doc", "left").select("doc", rounded(F.coalesce("s", F.lit(0.0)), digits).alias("score")).orderBy(F.desc("score"), "doc").limit(k)
+
+
+def rounded(score: Column, digits: int | None) -> Column:
+    return score if digits is None else F.round(score, digits)
 
 
 def fuse(lists: list[DataFrame], k: float = 60.0, weights: list[float] | None = None) -> DataFrame:
@@ -64,10 +68,10 @@ def gather(ids: DataFrame, table: DataFrame) -> DataFrame:
     return ids.join(table, "doc", "left")
 
 
-def exact_knn(vectors: DataFrame, query: list[float], k: int, metric: str = "ip") -> DataFrame:
+def exact_knn(vectors: DataFrame, query: list[float], k: int, metric: str = "ip", digits: int | None = None) -> DataFrame:
     q = F.array(*[F.lit(float(x)) for x in query])
     score = X.dot(F.col("v"), q) if metric == "ip" else -X.squared_distance(F.col("v"), q)
-    return vectors.select("doc", score.alias("score")).orderBy(F.desc("score"), "doc").limit(k)
+    return vectors.select("doc", rounded(score, digits).alias("score")).orderBy(F.desc("score"), "doc").limit(k)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 25, seed: int = 42) -> np.ndarray:

@@ -275,9 +275,9 @@ def _(spark, d):
     return _index(spark, d).terms()
 
 
-def _bm25(spark, d, cand, k, keys=TERMS):
+def _bm25(spark, d, cand, k, keys=TERMS, digits=None):
     ix = _index(spark, d)
-    return R.rerank(cand, ix.terms(keys), ix.dictionary("term", keys), ix.table("stats"), keys, k)
+    return R.rerank(cand, ix.terms(keys), ix.dictionary("term", keys), ix.table("stats"), keys, k, digits=digits)
 
 
 _PART = "part AS (SELECT doc, sum(w * impact * (1.2e0 + 1) / 255e0) AS s FROM impacts JOIN weights USING (term) WHERE term IN " + _in(TERMS) + " GROUP BY doc)"
@@ -609,7 +609,7 @@ def _(spark, d):
     """BM25 inside a filter; counts over the head of what was ranked before the filter."""
     ix = _index(spark, d)
     cand = S.page(S.k_of_n(ix.terms(TERMS), "term", TERMS).select("doc"), TERM_WINDOW)
-    ranked = _bm25(spark, d, cand, 1 << 20).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc").limit(TERM_DEPTH)
+    ranked = _bm25(spark, d, cand, TERM_DEPTH, digits=6)
     return answer(FA.apply(ranked, ix.facets(), INCLUDE), [F.desc("score"), F.asc("doc")], FA.counts(ranked, ix.facets(), HEAD, known=ix.table("facet_dict")))
 
 
@@ -618,8 +618,8 @@ def _(spark, d):
     """Words (two of them at least) and a vector, fused, inside a filter; counts over all that is left."""
     ix = _index(spark, d)
     cand = S.page(_min_match(spark, d, HYBRID_MATCH).select("doc"), TERM_WINDOW)
-    text = _bm25(spark, d, cand, 1 << 20, LENIENT).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc").limit(HYBRID_DEPTH)
-    near = R.exact_knn(C.embeddings(spark, d), _query_vector(spark, d), 1 << 20).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc").limit(HYBRID_DEPTH)
+    text = _bm25(spark, d, cand, HYBRID_DEPTH, LENIENT, digits=6)
+    near = R.exact_knn(C.embeddings(spark, d), _query_vector(spark, d), HYBRID_DEPTH, digits=6)
     fused = R.fuse([R.with_rank(x, F.desc("score"), "doc") for x in (text, near)]).withColumn("score", F.round("score", 9))
     kept = FA.apply(fused, ix.facets(), INCLUDE)
     return answer(kept, [F.desc("score"), F.asc("doc")], FA.counts(kept, ix.facets(), known=ix.table("facet_dict")))

@@ -457,17 +457,21 @@ def test_packing_round_trip_within_limits(spark):
         packing.pack(packing.conversation_examples(rows), 0, 1, 1)
 
 
+def examples(spark, rows):
+    """(ex_id, [(loss, tokens)]) as ``pack`` takes them."""
+    out = [(ex, 0, [(i, loss, bytearray(np.array(tokens, packing.id_type(_tokens.VOCABULARY)).tobytes())) for i, (loss, tokens) in enumerate(parts)]) for ex, parts in rows]
+    return spark.createDataFrame(out, "ex_id long, first_piece long, parts array<struct<turn: long, loss: boolean, tokens: binary>>")
+
+
 def test_packing_cuts_only_what_does_not_fit(spark):
-    schema = "ex_id long, first_piece long, tokens array<int>, loss array<boolean>"
-    ex = spark.createDataFrame([(1, 0, [7] * 3500, [False] * 3000 + [True] * 500), (2, 0, [8] * 4000, [True] * 4000)], schema)
+    ex = examples(spark, [(1, [(False, [7] * 3000), (True, [7] * 500)]), (2, [(True, [8] * 4000)])])
     back, _ = sequences(packing.pack(ex))
     assert len(back[1]) == 1 and [len(t) for _, t, _ in back[2]] == [3072, 928]
     assert packing.cuts(np.ones(4096, bool), 4096, 4096) == [0, 4096] and packing.cuts(np.zeros(9, bool), 4, 1) == [0, 4, 8, 9]
 
 
 def test_packing_groups_are_even_whatever_repeats(spark):
-    ex = spark.createDataFrame([(None, 0, [1, 2], [True, True])] * 4000, "ex_id long, first_piece long, tokens array<int>, loss array<boolean>")
-    got = packing.pack(ex, group=500).select("bin_id", "doc_ids").collect()
+    got = packing.pack(examples(spark, [(None, [(True, [1, 2])])] * 4000), group=500).select("bin_id", "doc_ids").collect()
     sizes = collections.Counter()
     for r in got:
         sizes[r.bin_id >> 20] += len(r.doc_ids)
