@@ -82,8 +82,8 @@ def test_secrets_named_without_digits_and_beside_punctuation(spark):
 
 
 # ---- 2 lines
-def deleted_by_brute_force(texts):
-    """Words (doc, index) that a run of shared lines covers, by comparing every pair of texts."""
+def runs_by_brute_force(texts):
+    """The words of each run of covered lines, by document: lines that a run shared with an earlier text covers, by comparing every pair of texts."""
     every = {i: lines.Lines(pa.array([t], pa.large_string())) for i, t in texts}
     hashes = {i: l.hash.tolist() for i, l in every.items()}
     where = collections.defaultdict(list)
@@ -101,7 +101,19 @@ def deleted_by_brute_force(texts):
                     n += 1
                 if n >= lines.WINDOW or int(every[b].words[p : p + n].sum()) >= lines.MIN_WORDS:
                     out[b] |= set(range(p, p + n))
-    return {b: sum(int(every[b].words[i]) for i in ls) for b, ls in out.items()}
+    runs = {}
+    for b, ls in out.items():
+        runs[b] = []
+        for i in sorted(ls):
+            if i - 1 not in ls:
+                runs[b].append(0)
+            runs[b][-1] += int(every[b].words[i])
+    return runs
+
+
+def deleted_by_brute_force(texts):
+    """How many words lie in covered lines."""
+    return {b: sum(n) for b, n in runs_by_brute_force(texts).items()}
 
 
 def test_line_dedup_deletes_shared_passages(spark):

@@ -8,7 +8,7 @@ import corpus_pipeline
 from lodestone.llm import _tokens, decontam, lines, minhash, quality_rules
 
 from .helpers import LABELS, SCHEMA, docs, messy, prose
-from .test_operators import deleted_by_brute_force, sequences
+from .test_operators import runs_by_brute_force, sequences
 
 
 def folder(spark, tmp_path, documents, labels=(), items=()):
@@ -74,13 +74,12 @@ def test_pipeline_equals_a_plain_version(spark, tmp_path):
     ratio = quality_rules.fit(table, spark.read.parquet(f"{sf}/labels.parquet"))
     n, score = quality_rules.score_texts(pa.array(list(texts.values()), pa.string()), ratio)
     assert got[0] == {i: t for (i, t), k, s in zip(texts.items(), n, score) if k and round(s, 9) >= quality_rules.THRESHOLD}
-    # What brute force finds covered; only runs of MIN_WORDS words are deleted, so a document goes only if one of its runs has them.
-    covered = deleted_by_brute_force(sorted(got[0].items()))
+    # Only runs of MIN_WORDS words are deleted; a document that has one goes whole if more than MOST of its words is covered.
+    runs = runs_by_brute_force(sorted(got[0].items()))
+    cut = {i for i, n in runs.items() if max(n) >= lines.MIN_WORDS}
     words = {i: lines.Lines(pa.array([t], pa.large_string())).words.sum() for i, t in got[0].items()}
-    assert set(got[0]) - set(got[1]) <= {i for i, n in covered.items() if n > lines.MOST * words[i] and n >= lines.MIN_WORDS}
-    assert all(t == got[0][i] for i, t in got[1].items() if covered.get(i, 0) < lines.MIN_WORDS)
-    cut = {i for i, t in got[1].items() if t != got[0][i]}
-    assert all(covered[i] <= lines.MOST * words[i] for i in cut)
+    assert set(got[0]) - set(got[1]) == {i for i in cut if sum(runs[i]) > lines.MOST * words[i]}
+    assert {i for i, t in got[1].items() if t != got[0][i]} == cut & set(got[1])
 
     def shingles(t):
         w = re.findall(r"[A-Za-z0-9_\x80-\U0010ffff]+", t.lower())
